@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import leakage, lookalike, mixing, pieces
+from weftline.llm import canonical, leakage, lookalike, mixing, pieces
+from weftline.operators.units import metric_parts, unit_key, unit_table
 from weftline.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +21,37 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    """(field_name, row_key, text) of the three freely typed fields; a field of settings gives a row for each."""
+    names = table(spark, d, "canonical_entries").select("field_name", F.col("canonical_name").alias("text"))
+    units = unit_table(spark).select(F.col("unit_key").alias("_k"), F.lit(1).alias("_u"))
+    metric = table(spark, d, "candidate_items", "id", "performance_metric").where("performance_metric IS NOT NULL").distinct()
+    metric = metric.select(F.lit("performance_metric").alias("field_name"), F.col("id").alias("row_key"), F.col("performance_metric").alias("text"))
+    stage = table(spark, d, "llm_calls", "call_id", "stage").where("stage IS NOT NULL").distinct()
+    stage = stage.select(F.lit("stage").alias("field_name"), F.col("call_id").alias("row_key"), F.col("stage").alias("text"))
+    single = metric.unionByName(stage).join(F.broadcast(names), ["field_name", "text"], "left_anti")
+    single = single.withColumn("_k", F.when(F.col("field_name") == "performance_metric", unit_key(metric_parts(F.col("text"))[1])))
+    single = single.join(F.broadcast(units), "_k", "left").select("field_name", "row_key", canonical.without_unit(F.col("text"), F.col("_u")).alias("text"))
+    packed = table(spark, d, "candidate_records", "id", "process_parameters").where("process_parameters IS NOT NULL")
+    packed = packed.select(F.lit("process_parameters").alias("field_name"), F.col("id").alias("row_key"), F.explode(canonical.setting_names(F.col("process_parameters"))).alias("text"))
+    return single.unionByName(packed)
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    typed = _typed(spark, d)
+    mapped = canonical.map_texts(typed, table(spark, d, "canonical_entries")).select("field_name", "text", "entry_id")
+    return typed.join(mapped, ["field_name", "text"]).select("field_name", "row_key", "entry_id").distinct()
+
+
+@query
+def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that stand for no entry, with how many rows have them."""
+    typed = _typed(spark, d)
+    mapped = canonical.map_texts(typed, table(spark, d, "canonical_entries")).where("entry_id = 0")
+    return typed.join(mapped.select("field_name", "text"), ["field_name", "text"]).groupBy("field_name", "text").agg(F.countDistinct("row_key").alias("n_rows"))
+
+
 def _limits(spark: SparkSession, d: str) -> dict[str, tuple[int, int]]:
     return {r.field_name: (r.max_chars, r.overlap_chars) for r in table(spark, d, "size_limits").collect()}
 
