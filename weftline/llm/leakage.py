@@ -177,9 +177,9 @@ def leaked_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
         texts: list[list[str]] = []
         held = 0
 
-        def shard() -> pd.DataFrame:
-            found = list(match_shard(ids, texts, items))
-            return pd.DataFrame(found, columns=["doc_id", "item_id", "share", "longest_match", "word_place", "item_offset"])
+        def shard() -> Iterator[pd.DataFrame]:
+            if found := list(match_shard(ids, texts, items)):
+                yield pd.DataFrame(found, columns=["doc_id", "item_id", "share", "longest_match", "word_place", "item_offset"])
 
         for batch in batches:
             for i, t in zip(batch["doc_id"], batch["text"]):
@@ -187,10 +187,10 @@ def leaked_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
                 texts.append(words(t))
                 held += len(texts[-1])
                 if held >= SHARD_WORDS:
-                    yield shard()
+                    yield from shard()
                     ids, texts, held = [], [], 0
         if ids:
-            yield shard()
+            yield from shard()
 
     # a repeated row may stand in two shards; the findings, far fewer than the documents, are made distinct
     return docs.mapInPandas(search, schema).distinct()

@@ -127,7 +127,8 @@ def split_items(items: DataFrame, max_chars: int, overlap: int, key: str = "item
                 widest = longest_unbroken(t)
                 for k, (a, b, kind) in enumerate(split_text(t, max_chars, overlap), 1):
                     out.append((i, len(t), widest, k, a, b, kind, t[a:b]))
-            yield pd.DataFrame(out, columns=names)
+            if out:
+                yield pd.DataFrame(out, columns=names)
 
     return long.mapInPandas(cut, "item_id long, n_chars int, longest_unbroken int, piece_no int, piece_begin int, piece_end int, cut_kind string, piece_text string")
 

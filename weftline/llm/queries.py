@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import canonical, leakage, lookalike, mixing, pieces
+from weftline.llm import canonical, leakage, lookalike, mixing, pieces, toxicity
 from weftline.operators.units import metric_parts, unit_key, unit_table
 from weftline.sources.tables import table
 
@@ -117,3 +117,22 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     """The mixture itself: each document with the number of its uses."""
     return mixing.mix(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_targets"))
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents", "doc_id", "source", "text")
+    return toxicity.score_documents(docs, table(spark, d, "content_labels")).select("doc_id", "category")
+
+
+@query
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Score, E-value and worst passage of every document with such content."""
+    return toxicity.score_documents(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "content_labels"))
+
+
+@query
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates per source and category."""
+    docs = table(spark, d, "documents", "doc_id", "source", "text")
+    return toxicity.rates(docs, toxicity.score_documents(docs, table(spark, d, "content_labels")))
