@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import canonical, leakage, lookalike, mixing, pieces, toxicity
+from weftline.llm import canonical, leakage, lookalike, mixing, pieces, scan_repair, toxicity
 from weftline.operators.units import metric_parts, unit_key, unit_table
 from weftline.sources.tables import table
 
@@ -79,6 +79,22 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).distinct()
 
 
+def _scans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    blocks = table(spark, d, "document_blocks", "id", "paper_id", "page_number", "order_index", "block_type", "text")
+    return blocks, table(spark, d, "document_pages", "id", "paper_id", "page_number", "text")
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_repair.findings(*_scans(spark, d))
+
+
+@query
+def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Every block that is no furniture as running text."""
+    return scan_repair.repaired_blocks(*_scans(spark, d))
+
+
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_looks(table(spark, d, "candidate_items"))
