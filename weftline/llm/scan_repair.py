@@ -142,7 +142,7 @@ def train_ranker(sample: list[tuple[str, int]], seed: int = 5) -> boosting.Boost
     for w in words:
         add(w, counts[w], None)  # words of the corpus stay as they are
         add(w, max(1.0, counts[w] / 10 ** rng.uniform(0, 3)), None)  # also if they are rare
-    for _ in range(2 * len(words)):
+    for _ in range(max(2 * len(words), 1500) if words else 0):
         w = rng.choice(words)
         fits = [(a, b) for a, b in MISREADS if a in w]
         if fits:
