@@ -39,8 +39,8 @@ CANDIDATE = 200_000
 #: nor are words rarer than 1 in this many examples to learn from
 EXAMPLE = 50_000
 
-_BREAK = r"(?:-|­|¬)[ \t]?\n\s*"
-_PAIR = rf"(\S*\p{{L}}{_BREAK}\S+)"
+_BREAK = r"(?<=\p{L})(?:-|\xAD|¬)[ \t]?\n\s*"
+_MARK = "\ue000"  # stands for a break within a word
 _EDGE = r"^[^\p{L}\p{Nd}@]+|[^\p{L}\p{Nd}@]+$"
 
 # fixed values: what scans read for what is printed
@@ -85,11 +85,21 @@ def _core(col: Column) -> Column:
     return F.regexp_replace(col, _EDGE, "")
 
 
-def vocabulary(blocks: DataFrame) -> DataFrame:
-    """(word, n): every whole word of all blocks, split at slashes, without adjoining punctuation; broken ones left out."""
-    tokens = blocks.where("text IS NOT NULL").select(F.explode(F.split(F.regexp_replace("text", _PAIR, " "), r"\s+")).alias("token"))
-    tokens = tokens.groupBy("token").agg(F.count("*").alias("n"))
-    words = tokens.select(F.explode(F.split(_core(F.col("token")), "/")).alias("word"), "n").where("word <> ''")
+def marked(text: Column) -> Column:
+    """A text with _MARK for every line break within a word; linear in its length, and free for texts of one line."""
+    return F.when(F.contains(text, F.lit("\n")), F.regexp_replace(text, _BREAK, _MARK)).otherwise(text)
+
+
+def token_counts(blocks: DataFrame) -> DataFrame:
+    """(token, n): every token between white space of all blocks, as it stands."""
+    tokens = blocks.where("text IS NOT NULL").select(F.explode(F.split(marked(F.col("text")), r"\s+")).alias("token"))
+    return tokens.groupBy("token").agg(F.count("*").alias("n"))
+
+
+def vocabulary(tokens: DataFrame) -> DataFrame:
+    """(word, n): the words of ``token_counts``, split at slashes, without adjoining punctuation; broken ones left out."""
+    whole = tokens.where(~F.contains("token", F.lit(_MARK)))
+    words = whole.select(F.explode(F.split(_core(F.col("token")), "/")).alias("word"), "n").where("word <> ''")
     return words.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -209,29 +219,28 @@ def _fix_tokens(tokens: DataFrame, fixes: DataFrame) -> DataFrame:
 def scanned_papers(blocks: DataFrame) -> DataFrame:
     """(paper_id) of papers whose longer blocks are mostly broken into lines."""
     long = blocks.where("char_length(text) >= 100 AND paper_id IS NOT NULL")
-    share = F.avg(F.col("text").rlike(r"\S[ \t]*\n[ \t]*\S").cast("int"))
+    share = F.avg(F.contains(F.trim("text"), F.lit("\n")).cast("int"))
     return long.groupBy("paper_id").agg(share.alias("s")).where(F.col("s") >= SCANNED_SHARE).select("paper_id")
 
 
 def word_findings(blocks: DataFrame) -> DataFrame:
     """(id, noise_kind, as_read, repaired_word) of words of scanned papers that were broken or misread."""
-    vocab = checkpointed(vocabulary(blocks))
+    tokens = checkpointed(token_counts(blocks))
+    vocab = checkpointed(vocabulary(tokens))
     total = vocab.agg(F.sum("n")).first()[0] or 0
     sample = _sample(vocab, total)
     ranker, joiner = train_ranker(sample), train_joiner(sample)
-    frequent = vocab.where(F.col("n") >= max(total / FREQUENT, 20)).select("word")
-    # narrow pass: frequent words go before anything is shuffled
-    found = blocks.where("text IS NOT NULL").select("id", "paper_id", F.regexp_extract_all("text", F.lit(_PAIR), 1).alias("pairs"), F.split(F.regexp_replace("text", _PAIR, " "), r"\s+").alias("tokens"))
-    plain = found.select("id", "paper_id", F.explode(F.array_distinct("tokens")).alias("raw")).where(F.col("raw").rlike(r"\p{L}.*\p{L}"))
-    plain = plain.withColumn("word", _core(F.col("raw"))).join(F.broadcast(frequent), "word", "left_anti")
-    broken = found.select("id", "paper_id", F.explode("pairs").alias("raw")).select("id", "paper_id", "raw", F.lit(None).cast("string").alias("word"))
-    rest = plain.select("id", "paper_id", "raw", "word").unionByName(broken).join(scanned_papers(blocks), "paper_id").select("id", "raw", "word").distinct()
-    rest = checkpointed(rest)
-    halves = F.split("raw", _BREAK)
-    pairs = rest.where("word IS NULL").select("raw").distinct()
-    left, right = F.regexp_replace(halves[0], r"^[^\p{L}\p{Nd}@]+", ""), F.regexp_replace(halves[1], r"[^\p{L}\p{Nd}@]+$", "")
-    pairs = pairs.select("raw", left.alias("a"), right.alias("b")).where("a <> '' AND b <> ''")
-    pairs = pairs.withColumns({"m": F.concat("a", "b"), "h": F.concat_ws("-", "a", "b")})
+    least = max(total / FREQUENT, 20)
+    frequent = vocab.where(F.col("n") >= least).select("word")
+    # narrow pass: frequent tokens go before anything else is done to them or shuffled
+    common = tokens.where(F.col("n") >= least).select(F.col("token").alias("raw"))
+    rest = blocks.where("text IS NOT NULL").select("id", "paper_id", F.explode(F.array_distinct(F.split(marked(F.col("text")), r"\s+"))).alias("raw"))
+    rest = rest.join(F.broadcast(common), "raw", "left_anti").where(F.col("raw").rlike(r"\p{L}\P{L}*\p{L}")).join(scanned_papers(blocks), "paper_id")
+    rest = rest.select("id", "raw", F.when(~F.contains("raw", F.lit(_MARK)), _core(F.col("raw"))).alias("word"))
+    rest = checkpointed(rest.where("word IS NULL").unionByName(rest.where("word IS NOT NULL").join(F.broadcast(frequent), "word", "left_anti").select("id", "raw", "word")).distinct())
+    pairs = rest.where("word IS NULL").select("raw").distinct().withColumn("t", _core(F.col("raw")))
+    pairs = pairs.select("raw", F.substring_index("t", _MARK, 1).alias("a"), F.substring_index("t", _MARK, -1).alias("b"), F.replace("t", F.lit(_MARK), F.lit("")).alias("m"), F.replace("t", F.lit(_MARK), F.lit("-")).alias("h"))
+    pairs = pairs.where("a <> '' AND b <> '' AND contains(h, '-')")
     forms = pairs.select("raw", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).alias("t")) for k in "mhab"])).alias("x")).select("raw", "x.k", "x.t")
     known = forms.select("raw", "k", F.explode(F.split("t", "/")).alias("word")).join(vocab, "word", "left").groupBy("raw", "k").agg(F.min(F.coalesce("n", F.lit(0))).alias("n"))
     number = lambda k: F.log1p(F.coalesce(F.max(F.when(F.col("k") == k, F.col("n"))), F.lit(0)))
@@ -349,6 +358,6 @@ def repaired_blocks(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     fixes = word_findings(blocks).select("id", "as_read", "repaired_word").distinct().groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.length("as_read")).alias("o"), "as_read", "repaired_word"))).alias("fixes"))
     rows = blocks.select("id", "paper_id", "order_index", "text").where("text IS NOT NULL").dropDuplicates(["id"]).join(drop, "id", "left_anti").join(fixes, "id", "left")
     core = lambda x: F.regexp_replace(x["as_read"], _EDGE, "")
-    mended = F.aggregate("fixes", F.col("text"), lambda t, x: F.replace(t, core(x), x["repaired_word"]))
-    text = F.when(F.col("fixes").isNull(), F.col("text")).otherwise(mended)
+    mended = F.aggregate("fixes", marked(F.col("text")), lambda t, x: F.replace(t, core(x), x["repaired_word"]))
+    text = F.replace(F.when(F.col("fixes").isNull(), marked(F.col("text"))).otherwise(mended), F.lit(_MARK), F.lit("-"))
     return rows.select("id", "paper_id", "order_index", F.trim(F.regexp_replace(text, r"[ \t]*\n[ \t]*", " ")).alias("paragraph"))
