@@ -1,60 +1,8 @@
-"""The library's registered queries, and the SQL each is checked against where SQL can say it."""
+"""All queries of the library, by name."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from weftline.plans import documents, facts, problems, values  # noqa: F401  (they register their queries)
+from weftline.plans.registry import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from weftline.operators import packed, units
-from weftline.sources.tables import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable:
-    """Registers a query under ``name``."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return add
-
-
-PACKED_FIELDS = ["process_parameters", "structure_methods", "structure_features"]
-
-
-@query("p2_found")
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return packed.unpack_fields(table(spark, d, "candidate_records"), "id", PACKED_FIELDS)
-
-
-@query("p2_counts")
-def p2_counts(spark: SparkSession, d: str) -> DataFrame:
-    """How often each value stands in each field, and at how many positions."""
-    rows = packed.unpack_fields(table(spark, d, "candidate_records"), "id", PACKED_FIELDS, at_least=1)
-    return rows.groupBy("field_name", "item_text").agg(F.count("*").alias("n"), F.max("pos").alias("last_pos"))
-
-
-def _decoded(spark: SparkSession, d: str) -> DataFrame:
-    entries = table(spark, d, "canonical_entries").where("field_name = 'performance_metric' AND quantity_kind IS NOT NULL")
-    kinds = entries.select(F.col("canonical_name").alias("metric_base"), F.col("quantity_kind").alias("kind"))
-    return units.decode_units(units.stated_quantities(table(spark, d, "candidate_items")), kinds)
-
-
-@query("p5_found")
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return units.agreeing_pairs(_decoded(spark, d))
-
-
-@query("p5_values")
-def p5_values(spark: SparkSession, d: str) -> DataFrame:
-    """Every value in the common unit of its kind, with the unit stated or decoded."""
-    common = table(spark, d, "common_units").select(F.col("quantity_kind").alias("kind"), "common_unit")
-    df = _decoded(spark, d).join(F.broadcast(common), "kind", "left")
-    return df.select("id", "kind", "unit", "stated_in", "common_unit", F.round("common_value", 9).alias("common_value"))
+__all__ = ["ORACLE", "QUERIES"]
