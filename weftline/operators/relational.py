@@ -153,3 +153,32 @@ def changed(now: DataFrame, before: DataFrame, group: str) -> DataFrame:
     a, b = now.select(group, F.col("signature").alias("a")), before.select(group, F.col("signature").alias("b"))
     both = a.join(b, group, "full")
     return both.select(group, F.when(F.col("b").isNull(), "new").when(F.col("a").isNull(), "gone").when(F.col("a") != F.col("b"), "different").alias("change")).where("change IS NOT NULL")
+
+
+def fact_issues(records: DataFrame) -> DataFrame:
+    """(id, issues): what each record lacks, joined by commas; records without issue have no row."""
+    checks = [
+        ("no_metric", ~X.filled(F.col("performance_metric"))), ("no_value", ~X.filled(F.col("performance_value"))), ("no_sample", ~X.filled(F.col("sample_id"))), ("no_evidence", ~X.filled(F.col("performance_evidence"))),
+        ("no_digit", X.filled(F.col("performance_value")) & ~F.col("performance_value").rlike(r"\d")), ("rough_location", X.rough_location(F.col("source_location"))), ("low_confidence", F.coalesce(F.col("ai_confidence") < 0.65, F.lit(False))),
+    ]
+    found = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in checks]))
+    return records.select("id", F.array_join(found, ",").alias("issues")).where("issues <> ''")
+
+
+def told_twice(facts: DataFrame, keys: list[str], narrative: Column) -> DataFrame:
+    """(id, table_id): narrative facts that exactly one table fact of equal keys states too."""
+    rows = facts.withColumn("_narrative", F.coalesce(narrative, F.lit(False)))
+    table_side = rows.where("NOT _narrative").groupBy(*keys).agg(F.count("*").alias("_n"), F.min("id").alias("table_id")).where("_n = 1").drop("_n")
+    return rows.where("_narrative").join(table_side, keys).select("id", "table_id")
+
+
+def conflicting_cells(facts: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """(keys…, variants): places of which facts state more than one ``what``."""
+    return facts.groupBy(*keys).agg(F.count_distinct(what).alias("variants")).where("variants > 1")
+
+
+def commonest(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group…, value, n): the most frequent non-null value of each group, the least among equals; counted map-side."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n"))
+    top = counts.groupBy(*group).agg(F.min(F.struct((-F.col("n")).alias("m"), F.col(value).alias("v"))).alias("b"))
+    return top.select(*group, F.col("b.v").alias(value), (-F.col("b.m")).alias("n"))

@@ -113,3 +113,28 @@ def unparsed_page_lines(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "document_pages", "id", "paper_id", "page_number", "text").select("id", "paper_id", "page_number", line("text").alias("line")).where("trim(line) <> ''").distinct()
     held = _blocks(spark, d).select("paper_id", "page_number", line("text").alias("line")).distinct()
     return pages.join(held, ["paper_id", "page_number", "line"], "left_anti").select("id", "line")
+
+
+@query(
+    "page_chunks",
+    f"""SELECT paper_id, page_number, 'text' AS source_type, min(order_index) AS order_index, arg_min(id, (order_index, id)) AS source_block_id, string_agg(text, chr(10) ORDER BY order_index, id) AS raw_text FROM {BLOCKS}
+    WHERE trim(text) <> '' AND coalesce(block_type, '') NOT IN ('table', 'figure_caption') GROUP BY 1, 2
+    UNION ALL SELECT paper_id, page_number, CASE block_type WHEN 'table' THEN 'table_text' ELSE 'figure_caption' END, order_index, id, text FROM {BLOCKS} WHERE trim(text) <> '' AND block_type IN ('table', 'figure_caption')""",
+)
+def page_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return D.text_chunks(_blocks(spark, d))
+
+
+@query("context_windows")
+def context_windows(spark: SparkSession, d: str) -> DataFrame:
+    return D.context_windows(_blocks(spark, d), most_chars=4000, overlap=2)
+
+
+@query("joined_tables")
+def joined_tables(spark: SparkSession, d: str) -> DataFrame:
+    return D.joined_tables(_blocks(spark, d))
+
+
+@query("transposed_unpivot")
+def transposed_unpivot(spark: SparkSession, d: str) -> DataFrame:
+    return D.transposed_cells(D.table_cells(_blocks(spark, d)))

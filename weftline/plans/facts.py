@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
+from weftline.operators import alignment as A
+from weftline.operators import lookup as L
 from weftline.operators import matching as M
 from weftline.operators import relational as R
 from weftline.plans.registry import query
@@ -316,3 +318,67 @@ def template_values(spark: SparkSession, d: str) -> DataFrame:
 @query("template_quality", "SELECT field_path, count(*) AS n_values, count(DISTINCT id) AS n_records, count(DISTINCT raw_value) AS n_distinct FROM (" + " UNION ALL ".join(f"SELECT id, '{p}.{c}' AS field_path, trim({c}) AS raw_value FROM {RECORDS} WHERE trim({c}) <> ''" for p, cs in {"sample": ["material_system", "fiber_type", "matrix_name"], "process": ["process_route", "spinning_method", "post_treatment"], "performance": ["performance_metric", "performance_value", "performance_unit", "performance_condition"]}.items() for c in cs) + ") GROUP BY 1")
 def template_quality(spark: SparkSession, d: str) -> DataFrame:
     return template_values(spark, d).groupBy("field_path").agg(F.count("*").alias("n_values"), F.count_distinct("id").alias("n_records"), F.count_distinct("raw_value").alias("n_distinct"))
+
+
+@query(
+    "fact_issues",
+    f"""SELECT id, issues FROM (SELECT id, concat_ws(',', CASE WHEN coalesce(trim(performance_metric), '') = '' THEN 'no_metric' END, CASE WHEN coalesce(trim(performance_value), '') = '' THEN 'no_value' END, CASE WHEN coalesce(trim(sample_id), '') = '' THEN 'no_sample' END,
+    CASE WHEN coalesce(trim(performance_evidence), '') = '' THEN 'no_evidence' END, CASE WHEN trim(performance_value) <> '' AND NOT regexp_matches(performance_value, '\\d') THEN 'no_digit' END,
+    CASE WHEN coalesce(lower(trim(source_location)), '') IN ('', 'text', 'body', 'main text', 'unknown', 'n/a', 'results', 'abstract', 'page', 'paper') OR regexp_matches(coalesce(lower(trim(source_location)), ''), '^p(age|\\.)?\\s*\\d+$')
+    OR NOT regexp_matches(coalesce(lower(trim(source_location)), ''), 'fig|table|/ t\\d|block|section|scheme|sentence|paragraph|line') THEN 'rough_location' END, CASE WHEN ai_confidence < 0.65 THEN 'low_confidence' END) AS issues FROM {RECORDS}) WHERE issues <> ''""",
+)
+def fact_issues(spark: SparkSession, d: str) -> DataFrame:
+    return R.fact_issues(_records(spark, d))
+
+
+_KEYS = ["source_paper_id", "sample_id", "performance_metric", "performance_value"]
+
+
+@query(
+    "narrative_table_reconcile",
+    f"""WITH t AS (SELECT {', '.join(_KEYS)}, min(id) AS table_id FROM {RECORDS} WHERE extraction_method NOT IN ('AI_text', 'AI_holistic') OR extraction_method IS NULL GROUP BY {', '.join(_KEYS)} HAVING count(*) = 1)
+    SELECT r.id, t.table_id FROM {RECORDS} r JOIN t USING ({', '.join(_KEYS)}) WHERE r.extraction_method IN ('AI_text', 'AI_holistic')""",
+)
+def narrative_table_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    return R.told_twice(_records(spark, d), _KEYS, F.col("extraction_method").isin("AI_text", "AI_holistic"))
+
+
+@query("table_cell_conflict", f"SELECT source_paper_id, source_location, performance_metric, count(DISTINCT sample_id) AS variants FROM {RECORDS} WHERE source_location LIKE '%Table%' GROUP BY 1, 2, 3 HAVING count(DISTINCT sample_id) > 1")
+def table_cell_conflict(spark: SparkSession, d: str) -> DataFrame:
+    records = _records(spark, d).where(F.contains("source_location", F.lit("Table")))
+    return R.conflicting_cells(records, ["source_paper_id", "source_location", "performance_metric"], "sample_id")
+
+
+@query("commonest_process", f"SELECT source_paper_id, process_route, n FROM (SELECT *, row_number() OVER (PARTITION BY source_paper_id ORDER BY n DESC, process_route) AS r FROM (SELECT source_paper_id, process_route, count(*) AS n FROM {RECORDS} WHERE process_route IS NOT NULL GROUP BY 1, 2)) WHERE r = 1")
+def commonest_process(spark: SparkSession, d: str) -> DataFrame:
+    return R.commonest(_records(spark, d), ["source_paper_id"], "process_route")
+
+
+@query("metric_canonical_lookup")
+def metric_canonical_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct metrics as typed that a dictionary phrase equals, contains or is contained in."""
+    entries = table(spark, d, "canonical_entries").where("field_name = 'performance_metric'")
+    return L.find_entries(table(spark, d, "candidate_items", "performance_metric"), entries)
+
+
+@query("peak_dense_rank", f"SELECT id, value_no FROM (SELECT id, dense_rank() OVER (PARTITION BY source_paper_id, sample_id, performance_metric ORDER BY v) AS value_no FROM (SELECT *, TRY_CAST(performance_value AS DOUBLE) AS v FROM {ITEMS} WHERE regexp_full_match(performance_value, '[0-9.]+')) WHERE v IS NOT NULL)")
+def peak_dense_rank(spark: SparkSession, d: str) -> DataFrame:
+    items = _items(spark, d).where(F.col("performance_value").rlike(r"^[0-9.]+$")).select("id", "source_paper_id", "sample_id", "performance_metric", "performance_value")
+    return L.numbered_values(items, ["source_paper_id", "sample_id", "performance_metric"], "performance_value").where("value_no IS NOT NULL").select("id", "value_no")
+
+
+@query("stated_pairs")
+def stated_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return A.stated_pairs(_items(spark, d), "id", "evidence_text")
+
+
+@query("stated_contrasts")
+def stated_contrasts(spark: SparkSession, d: str) -> DataFrame:
+    return A.stated_contrasts(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+@query("evidence_windows")
+def evidence_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The sentence with each record's value in its evidence, and the one before."""
+    records = _records(spark, d).where("evidence_text IS NOT NULL AND performance_value <> ''")
+    return records.select("id", A.evidence_window(F.col("evidence_text"), F.col("performance_value")).alias("window")).where("window IS NOT NULL")
