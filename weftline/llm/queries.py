@@ -152,3 +152,34 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     """Rates per source and category."""
     docs = table(spark, d, "documents", "doc_id", "source", "text")
     return toxicity.rates(docs, toxicity.score_documents(docs, table(spark, d, "content_labels")))
+
+
+_STRETCH = r"[\s\v\x1c-\x1f\x85\pZ.!?;。！？；]"
+ORACLE["p3_found"] = " UNION ".join(
+    f"""SELECT '{field}' AS field_name, t.{key} AS item_id, CAST(list_max(list_transform(regexp_split_to_array(t.{text}, '{_STRETCH}'), lambda x: length(x))) > l.max_chars AS INTEGER) AS hard_cut
+    FROM {name} t JOIN size_limits l ON l.field_name = '{field}' WHERE length(t.{text}) > l.max_chars"""
+    for field, name, key, text in (("block_text", "document_blocks", "id", "text"), ("markdown_text", "document_contexts", "paper_id", "markdown_text"))
+)
+
+
+def _look_sql(c: str) -> str:
+    """The look of a text in SQL: all look-alikes to one letter, whatever stands around them."""
+    from weftline.functions import looks
+    from weftline.llm.lookalike import _LIGATURES
+
+    table = {chr(k + 0xFEE0): chr(k) for k in range(0x21, 0x7F)} | {s: " " for s in looks.SPACES} | looks.SAME_LOOK | looks.LOOK_ALIKES
+    keys = "".join(table) + looks.INVISIBLE
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    out = f"translate({c}, {quote(keys)}, {quote(''.join(table.values()))})"
+    for a, b in [*_LIGATURES, ("℃", "°C"), ("℉", "°F")]:
+        out = f"replace({out}, '{a}', '{b}')"
+    # a look-alike letter may take an accent: composed once before and once after
+    return f"trim(nfc_normalize({out.replace(f'translate({c},', f'translate(nfc_normalize({c}),')}))"
+
+
+ORACLE["p6_found"] = f"""WITH c AS (SELECT DISTINCT id, source_paper_id AS p, sample_id, performance_unit, evidence_text FROM candidate_items WHERE source_paper_id IS NOT NULL),
+s AS (SELECT v, {_look_sql('v')} AS k FROM (SELECT DISTINCT sample_id AS v FROM c UNION SELECT DISTINCT performance_unit FROM c UNION SELECT DISTINCT evidence_text FROM c) WHERE v IS NOT NULL),
+r AS (SELECT 'sample_id' AS field_name, id, p, sample_id AS v, '' AS other FROM c WHERE sample_id IS NOT NULL UNION ALL SELECT 'evidence_text', id, p, evidence_text, '' FROM c WHERE evidence_text IS NOT NULL
+    UNION ALL SELECT 'performance_unit', c.id, c.p, c.performance_unit, s.k FROM c JOIN s ON s.v = c.sample_id WHERE c.performance_unit IS NOT NULL),
+k AS (SELECT r.*, s.k FROM r JOIN s ON s.v = r.v)
+SELECT DISTINCT a.field_name, a.id AS id_a, b.id AS id_b FROM k a JOIN k b ON a.field_name = b.field_name AND a.p = b.p AND a.k = b.k AND a.other = b.other AND a.id < b.id AND a.v <> b.v"""

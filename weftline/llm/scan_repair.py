@@ -330,7 +330,10 @@ def furniture(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     )
     both = both.where("char_length(line) <= 200").join(scanned, "paper_id")
     data = checkpointed(_line_features(both, around, keys))
-    sample = data.where("item_kind = 'block'").orderBy(F.xxhash64("item_id")).limit(SAMPLE_LINES).select(*FURNITURE, (F.col("one_line") & (F.col("block_type") == "header_footer")).cast("int").alias("y")).collect()
+    own = data.where("item_kind = 'block'")
+    # a share of the lines by hash, so that no task sends more than its part of the sample
+    share = SAMPLE_LINES / max(own.count(), SAMPLE_LINES)
+    sample = own.where(F.xxhash64("item_id") / 2.0**64 + 0.5 < share).limit(2 * SAMPLE_LINES).select(*FURNITURE, (F.col("one_line") & (F.col("block_type") == "header_footer")).cast("int").alias("y")).collect()
     if not sample or not any(r.y for r in sample):
         return data.where("false").select("item_kind", "item_id", F.lit("").alias("noise_kind"))
     x, y = np.array([[float(r[f]) for f in FURNITURE] for r in sample]), np.array([float(r.y or 0) for r in sample])
