@@ -77,7 +77,11 @@ def markdown_to_blocks(spark: SparkSession, d: str) -> DataFrame:
     return D.markdown_blocks(table(spark, d, "document_contexts", "paper_id", "markdown_text"))
 
 
-@query("html_table_to_tsv")
+@query(
+    "html_table_to_tsv",
+    f"""WITH t AS (SELECT id, paper_id, regexp_extract_all(html, '<tr>(.*?)</tr>', 1) AS rows FROM {BLOCKS} WHERE html LIKE '%<tr>%')
+    SELECT id, paper_id, array_to_string(list_transform(rows, lambda r, i: CASE WHEN i = 1 THEN '[columns]' ELSE '[row ' || (i - 1) || ']' END || chr(9) || array_to_string(regexp_extract_all(r, '<t[hd]>(.*?)</t[hd]>', 1), chr(9))), chr(10)) AS tsv FROM t""",
+)
 def html_table_to_tsv(spark: SparkSession, d: str) -> DataFrame:
     return D.table_texts(_blocks(spark, d))
 
@@ -106,7 +110,11 @@ def related_blocks(spark: SparkSession, d: str) -> DataFrame:
     return links.join(blocks.select(F.col("id").alias("related_id"), "paper_id", "block_id"), ["paper_id", "block_id"]).select("id", "related_id").distinct()
 
 
-@query("unparsed_page_lines")
+@query(
+    "unparsed_page_lines",
+    f"""SELECT DISTINCT p.id, p.line FROM (SELECT id, paper_id, page_number, unnest(string_split(text, chr(10))) AS line FROM document_pages) p WHERE trim(p.line) <> '' AND NOT EXISTS
+    (SELECT 1 FROM (SELECT paper_id, page_number, unnest(string_split(text, chr(10))) AS line FROM {BLOCKS}) b WHERE b.paper_id = p.paper_id AND b.page_number = p.page_number AND b.line = p.line)""",
+)
 def unparsed_page_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of pages that no block of the page holds, met by equality on (paper, page, line)."""
     line = lambda c: F.explode(F.split(c, "\n"))
@@ -135,6 +143,14 @@ def joined_tables(spark: SparkSession, d: str) -> DataFrame:
     return D.joined_tables(_blocks(spark, d))
 
 
-@query("transposed_unpivot")
+@query(
+    "transposed_unpivot",
+    f"""WITH t AS (SELECT id, paper_id, regexp_extract_all(html, '<tr>(.*?)</tr>', 1) AS rows FROM {BLOCKS} WHERE html IS NOT NULL),
+    h AS (SELECT id, paper_id, rows, regexp_extract_all(rows[1], '<t[hd]>(.*?)</t[hd]>', 1) AS head FROM t),
+    r AS (SELECT id, paper_id, head, unnest(range(2, len(rows) + 1)) AS i, rows FROM h), c AS (SELECT id, paper_id, head, i - 1 AS row_no, regexp_extract_all(rows[i], '<t[hd]>(.*?)</t[hd]>', 1) AS cells FROM r),
+    u AS (SELECT id, paper_id, head, row_no, cells, unnest(range(2, len(cells) + 1)) AS j FROM c)
+    SELECT id, paper_id, CAST(j - 1 AS INTEGER) AS row_no, trim(regexp_replace(head[j], '\\s*\\([^()]*\\)$', '')) AS row_name, CAST(row_no AS INTEGER) AS column_no, trim(regexp_replace(cells[1], '\\s*\\([^()]*\\)$', '')) AS column_name,
+    nullif(regexp_extract(cells[1], '\\(([^()]*)\\)$', 1), '') AS unit, cells[j] AS value FROM u WHERE cells[j] <> ''""",
+)
 def transposed_unpivot(spark: SparkSession, d: str) -> DataFrame:
     return D.transposed_cells(D.table_cells(_blocks(spark, d)))

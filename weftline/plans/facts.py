@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
@@ -256,7 +256,16 @@ def spread_sample(spark: SparkSession, d: str) -> DataFrame:
     return R.spread_sample(papers, ["journal", "document_type"], "id", "7", 40)
 
 
-@query("similar_samples")
+_KEY = "trim(regexp_replace(regexp_replace(translate(lower(trim(regexp_replace(replace(replace(sample_id, '◦', '°'), '℃', '°C'), '\\s+', ' ', 'g'), ' ,;:.()[]')), '°−–—', ' ---'), '[^a-z0-9.%+\\-/ ]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(
+    "similar_samples",
+    f"""WITH n AS (SELECT DISTINCT source_paper_id AS g, sample_id AS n, list_sort(list_distinct(list_filter(string_split_regex({_KEY}, '[^a-z0-9.]+'), lambda t: t <> ''))) AS t FROM candidate_items WHERE source_paper_id IS NOT NULL AND sample_id IS NOT NULL),
+    c AS (SELECT g, t, min(n) AS n FROM n WHERE len(t) > 0 GROUP BY 1, 2),
+    p AS (SELECT a.g AS source_paper_id, a.n AS name_a, b.n AS name_b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)), 6) AS similarity FROM c a JOIN c b ON a.g = b.g AND a.n < b.n)
+    SELECT * FROM p WHERE similarity >= 0.6 - 1e-6""",
+)
 def similar_samples(spark: SparkSession, d: str) -> DataFrame:
     return M.similar_names(table(spark, d, "candidate_items", "source_paper_id", "sample_id"), "source_paper_id", "sample_id", 0.6)
 
@@ -297,7 +306,8 @@ def restated_facts(spark: SparkSession, d: str) -> DataFrame:
 def progress_throttle(spark: SparkSession, d: str) -> DataFrame:
     """The finished calls of every job as its progress, thinned."""
     calls = R.once(table(spark, d, "llm_calls"), "call_id").where("job_id IS NOT NULL AND recorded_at IS NOT NULL")
-    percent = (F.pmod(F.col("call_id"), F.lit(101))).cast("int")
+    w = Window.partitionBy("job_id").orderBy("recorded_at", "call_id")  # the calls of one job
+    percent = F.floor(100 * F.row_number().over(w) / F.count("*").over(Window.partitionBy("job_id"))).cast("int")
     return progress.throttle(calls.select("job_id", F.col("recorded_at").alias("ts"), F.coalesce("stage", F.lit("none")).alias("step"), percent.alias("percent")))
 
 

@@ -144,10 +144,12 @@ def file_stems(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "papers", "id", "original_filename").where("original_filename <> ''").select("id", X.safe_stem(F.col("original_filename")).alias("stem"))
 
 
-_FACT = "([^;:，。]+?) was ([^;，。]+?)(?:[;，。]|$)"
-
-
-@query("evidence_facts")
+@query(
+    "evidence_facts",
+    f"""WITH e AS (SELECT id, string_split_regex(regexp_replace(regexp_replace(evidence_text, '^.*?(following was found:|测试结果如下：)\\s*', ''), '[.。]\\s*$', ''), '; |，') AS fs FROM {ITEMS} WHERE regexp_matches(evidence_text, 'following was found:|测试结果如下')),
+    f AS (SELECT id, unnest(range(1, len(fs) + 1)) AS pos, fs FROM e)
+    SELECT id, CAST(pos AS INTEGER) AS pos, regexp_extract(fs[pos], '^(.*) was (.*)$', 1) AS metric, regexp_extract(fs[pos], '^(.*) was (.*)$', 2) AS value FROM f WHERE regexp_extract(fs[pos], '^(.*) was (.*)$', 2) <> ''""",
+)
 def evidence_facts(spark: SparkSession, d: str) -> DataFrame:
     """Every (metric, value with unit) that the listing evidence of a sample states, with its position."""
     rows = _items(spark, d, "evidence_text").where(F.col("evidence_text").rlike(r"following was found:|测试结果如下"))
