@@ -223,7 +223,7 @@ def scanned_papers(blocks: DataFrame) -> DataFrame:
     return long.groupBy("paper_id").agg(share.alias("s")).where(F.col("s") >= SCANNED_SHARE).select("paper_id")
 
 
-def word_findings(blocks: DataFrame) -> DataFrame:
+def word_findings(blocks: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
     """(id, noise_kind, as_read, repaired_word) of words of scanned papers that were broken or misread."""
     tokens = checkpointed(token_counts(blocks))
     vocab = checkpointed(vocabulary(tokens))
@@ -235,7 +235,7 @@ def word_findings(blocks: DataFrame) -> DataFrame:
     # narrow pass: frequent tokens go before anything else is done to them or shuffled
     common = tokens.where(F.col("n") >= least).select(F.col("token").alias("raw"))
     rest = blocks.where("text IS NOT NULL").select("id", "paper_id", F.explode(F.array_distinct(F.split(marked(F.col("text")), r"\s+"))).alias("raw"))
-    rest = rest.join(F.broadcast(common), "raw", "left_anti").where(F.col("raw").rlike(r"\p{L}\P{L}*\p{L}")).join(scanned_papers(blocks), "paper_id")
+    rest = rest.join(F.broadcast(common), "raw", "left_anti").where(F.col("raw").rlike(r"\p{L}\P{L}*\p{L}")).join(scanned if scanned is not None else scanned_papers(blocks), "paper_id")
     rest = rest.select("id", "raw", F.when(~F.contains("raw", F.lit(_MARK)), _core(F.col("raw"))).alias("word"))
     rest = checkpointed(rest.where("word IS NULL").unionByName(rest.where("word IS NOT NULL").join(F.broadcast(frequent), "word", "left_anti").select("id", "raw", "word")).distinct())
     pairs = rest.where("word IS NULL").select("raw").distinct().withColumn("t", _core(F.col("raw")))
@@ -317,12 +317,12 @@ def edge_blocks(blocks: DataFrame) -> DataFrame:
     return ends.select("paper_id", "page_number", F.explode(sides).alias("e")).select("paper_id", "page_number", "e.side", "e.b.id", "e.line", "e.b.block_type", "e.b.one_line")
 
 
-def furniture(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+def furniture(blocks: DataFrame, pages: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
     """(item_kind, item_id, noise_kind) of blocks that are, and pages that have, a running header or a page number."""
     edges = edge_lines(pages)
     around = checkpointed(edges.select("paper_id", "page_number", "side", F.substring("line", 1, 200).alias("line")).distinct())
     b = edge_blocks(blocks)
-    scanned = scanned_papers(blocks)
+    scanned = scanned if scanned is not None else scanned_papers(blocks)
     # how typical a line is of page edges in the whole corpus: papers that have it there
     keys = around.groupBy(F.lower(F.regexp_replace("line", r"[^\p{L}]+", " ")).alias("key"), "side").agg(F.log1p(F.approx_count_distinct("paper_id")).alias("edge_share"))
     both = b.select(F.lit("block").alias("item_kind"), F.col("id").alias("item_id"), "paper_id", "page_number", "side", "line", "block_type", "one_line").unionByName(
@@ -348,17 +348,19 @@ def furniture(blocks: DataFrame, pages: DataFrame) -> DataFrame:
 
 def findings(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """(item_kind, item_id, noise_kind, repaired_word): all that is found in blocks and pages."""
-    parts = checkpointed(furniture(blocks, pages))
-    words = word_findings(blocks).join(parts.where("item_kind = 'block'").select(F.col("item_id").alias("id")).distinct(), "id", "left_anti")
+    scanned = checkpointed(scanned_papers(blocks))
+    parts = checkpointed(furniture(blocks, pages, scanned))
+    words = word_findings(blocks, scanned).join(parts.where("item_kind = 'block'").select(F.col("item_id").alias("id")).distinct(), "id", "left_anti")
     words = words.select(F.lit("block").alias("item_kind"), F.col("id").alias("item_id"), "noise_kind", "repaired_word")
     return parts.withColumn("repaired_word", F.lit("")).unionByName(words).distinct()
 
 
 def repaired_blocks(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """(id, paper_id, order_index, paragraph): the text of every block that is no furniture, as running text."""
-    drop = furniture(blocks, pages).where("item_kind = 'block'").select(F.col("item_id").alias("id")).distinct()
+    scanned = checkpointed(scanned_papers(blocks))
+    drop = furniture(blocks, pages, scanned).where("item_kind = 'block'").select(F.col("item_id").alias("id")).distinct()
     # the longest reading first, so that no replacement spoils another
-    fixes = word_findings(blocks).select("id", "as_read", "repaired_word").distinct().groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.length("as_read")).alias("o"), "as_read", "repaired_word"))).alias("fixes"))
+    fixes = word_findings(blocks, scanned).select("id", "as_read", "repaired_word").distinct().groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.length("as_read")).alias("o"), "as_read", "repaired_word"))).alias("fixes"))
     rows = blocks.select("id", "paper_id", "order_index", "text").where("text IS NOT NULL").dropDuplicates(["id"]).join(drop, "id", "left_anti").join(fixes, "id", "left")
     core = lambda x: F.regexp_replace(x["as_read"], _EDGE, "")
     mended = F.aggregate("fixes", marked(F.col("text")), lambda t, x: F.replace(t, core(x), x["repaired_word"]))
