@@ -72,7 +72,13 @@ def text_within_budget(spark: SparkSession, d: str) -> DataFrame:
     return D.text_within_budget(_blocks(spark, d), 8000)
 
 
-@query("markdown_to_blocks")
+@query(
+    "markdown_to_blocks",
+    """WITH s AS (SELECT DISTINCT paper_id, string_split_regex(regexp_replace(markdown_text, '\\n(#{1,6} )', '\n\n\\1', 'g'), '\\n\\s*\\n') AS parts FROM document_contexts WHERE markdown_text IS NOT NULL),
+    r AS (SELECT paper_id, unnest(range(1, len(parts) + 1)) AS i, parts FROM s), t AS (SELECT paper_id, CAST(i - 1 AS INTEGER) AS pos, trim(parts[i]) AS raw FROM r WHERE trim(parts[i]) <> '')
+    SELECT paper_id, pos, CASE WHEN regexp_matches(raw, '^#{1,6} ') THEN 'heading' WHEN regexp_matches(raw, '^\\|.*\\|') THEN 'table' WHEN regexp_matches(raw, '^([-*+]|\\d+[.)]) ') THEN 'list' ELSE 'paragraph' END AS kind,
+    length(regexp_extract(raw, '^(#{1,6}) ', 1)) AS level, regexp_replace(raw, '^#{1,6} ', '') AS text FROM t""",
+)
 def markdown_to_blocks(spark: SparkSession, d: str) -> DataFrame:
     return D.markdown_blocks(table(spark, d, "document_contexts", "paper_id", "markdown_text"))
 

@@ -11,6 +11,7 @@ from weftline.operators import lookup as L
 from weftline.operators import matching as M
 from weftline.operators import relational as R
 from weftline.plans.registry import query
+from weftline.plans.values import number_signature_sql
 from weftline.sources.tables import table
 from weftline.streaming import progress
 
@@ -182,15 +183,24 @@ def text_hash_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("kept_id"), F.count("*").alias("copies")).where("copies > 1")
 
 
-@query("exact_fact_dedupe")
-def exact_fact_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    return R.exact_dedupe(_records(spark, d)).select("id", "source_paper_id", "sample_id", "performance_metric", "performance_value", "extraction_method")
-
-
 _RANK = """coalesce(CASE extraction_method WHEN 'rule_text_range' THEN 20 WHEN 'AI_holistic' THEN 8 WHEN 'AI_holistic_table' THEN 8 WHEN 'AI_table' THEN 6 WHEN 'AI_figure' THEN 5 END, 0)
     + CASE WHEN lower(source_location) LIKE '%table%' THEN 6 WHEN lower(source_location) LIKE '%fig%' THEN 5 ELSE 0 END + CASE WHEN trim(sample_id) <> '' THEN 2 ELSE 0 END + least(length(coalesce(evidence_text, '')), 200)"""
 
 
+_OPERATOR = """CASE WHEN regexp_matches(v, '^(at most|no more than|up to|≤|<=)') THEN '<=' WHEN regexp_matches(v, '^(at least|no less than|≥|>=)') THEN '>=' WHEN regexp_matches(v, '^(less than|below|under|<)') THEN '<'
+    WHEN regexp_matches(v, '^(more than|greater than|above|over|>)') THEN '>' WHEN regexp_matches(v, '^(about|approximately|approx|roughly|around|ca|~|≈|∼)') THEN '≈' ELSE '=' END"""
+
+
+@query(
+    "exact_fact_dedupe",
+    f"""WITH r AS (SELECT *, lower(trim(performance_value)) AS v FROM {RECORDS}), k AS (SELECT *, CASE WHEN trim(performance_metric) <> '' AND trim(performance_value) <> '' THEN concat_ws(chr(31), coalesce(CAST(source_paper_id AS VARCHAR), ''), lower(trim(coalesce(sample_id, ''))), lower(trim(performance_metric)),
+    {_OPERATOR} || '|' || coalesce(nullif({number_signature_sql('performance_value')}, ''), v), lower(trim(coalesce(performance_unit, ''))), lower(trim(coalesce(performance_condition, '')))) ELSE chr(31) || id END AS key FROM r)
+    SELECT id, source_paper_id, sample_id, performance_metric, performance_value, extraction_method FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY {_RANK} DESC, id) AS n FROM k) WHERE n = 1""",
+)
+def exact_fact_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    return R.exact_dedupe(_records(spark, d)).select("id", "source_paper_id", "sample_id", "performance_metric", "performance_value", "extraction_method")
+
+
 @query(
     "best_fact_per_sample_metric",
     f"""SELECT source_paper_id, sample_id, performance_metric, id, performance_value, extraction_method FROM (SELECT *, row_number() OVER (PARTITION BY source_paper_id, sample_id, performance_metric ORDER BY {_RANK} DESC, id) AS r
@@ -280,7 +290,20 @@ def sample_components(spark: SparkSession, d: str) -> DataFrame:
     return found.select(part("node", 1).cast("long").alias("source_paper_id"), part("node", 2).alias("sample_id"), part("component", 2).alias("canonical"))
 
 
-@query("sample_grouping")
+_PATTERN = f"trim(regexp_replace(regexp_replace(regexp_replace(lower(trim({_KEY}, ' ,;:.()[]')), '\\d+(\\.\\d+)?\\s*(wt%|vol%|mol%|%|wt|°c|mm|nm|mpa)?', '#', 'g'), '#(\\s*#)+', '#', 'g'), '\\s+', ' ', 'g'))"
+_L = "lower(trim(source_location))"
+_BUCKET = f"""CASE WHEN regexp_matches({_L}, 'fig(ure|\\.)?\\s*s?(\\d+)') THEN 'figure:' || regexp_extract({_L}, 'fig(ure|\\.)?\\s*s?(\\d+)', 2) WHEN regexp_matches({_L}, '(table|/ t)\\s*s?0*(\\d+)') THEN 'table:' || regexp_extract({_L}, '(table|/ t)\\s*s?0*(\\d+)', 2)
+    WHEN regexp_matches({_L}, 'p(age|\\.)?\\s*(\\d+)') AND regexp_matches({_L}, '(results|discussion|experimental|introduction|conclusion|abstract)') THEN 'page:' || regexp_extract({_L}, 'p(age|\\.)?\\s*(\\d+)', 2) || ':' || regexp_extract({_L}, '(results|discussion|experimental|introduction|conclusion|abstract)', 1)
+    WHEN {_L} <> '' THEN {_L} ELSE 'unknown' END"""
+
+
+@query(
+    "sample_grouping",
+    f"""WITH m AS (SELECT source_paper_id, variable_name, variable_value, {_BUCKET} AS bucket, {_KEY} AS s, {_PATTERN} AS pattern FROM {RECORDS} WHERE source_paper_id IS NOT NULL AND sample_id IS NOT NULL),
+    g AS (SELECT source_paper_id, 'variable' AS reason, lower(trim(variable_name)) AS group_key, 0.9 AS confidence, count(DISTINCT s) AS samples FROM m WHERE s <> '' AND variable_name IS NOT NULL AND variable_value IS NOT NULL GROUP BY 1, 2, 3 HAVING count(DISTINCT variable_value) >= 2
+    UNION ALL SELECT source_paper_id, 'place', bucket, CASE WHEN bucket = 'unknown' THEN 0.55 ELSE 0.72 END, count(DISTINCT s) FROM m WHERE s <> '' GROUP BY 1, 2, 3
+    UNION ALL SELECT source_paper_id, 'pattern', pattern, 0.68, count(DISTINCT s) FROM m WHERE s <> '' GROUP BY 1, 2, 3) SELECT source_paper_id, reason, group_key, CAST(confidence AS DOUBLE) AS confidence, samples FROM g WHERE samples >= 2""",
+)
 def sample_grouping(spark: SparkSession, d: str) -> DataFrame:
     return M.sample_groups(_records(spark, d))
 

@@ -34,6 +34,22 @@ def operator_counts(spark: SparkSession, d: str) -> DataFrame:
     return value_operator(spark, d).groupBy("operator").agg(F.count("*").alias("n"))
 
 
+def plain_science_sql(c: str) -> str:
+    """``plain_science`` as SQL."""
+    x = f"translate(regexp_replace({c}, '([⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺]+)', '^\\1', 'g'), '⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺−–·∙⋅', '0123456789-+--***')"
+    x = f"replace(regexp_replace(regexp_replace({x}, '\\\\times|×', '*', 'g'), '\\^\\{{([^}}]*)\\}}', '^\\1', 'g'), '$', '')"
+    for _ in range(2):
+        x = f"regexp_replace({x}, '(\\d),(\\d{{3}})\\b', '\\1\\2', 'g')"
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+def number_signature_sql(c: str) -> str:
+    """``number_signature`` as SQL."""
+    found = f"regexp_extract_all({plain_science_sql(c)}, '(\\d+(?:\\.\\d+)?)', 1)"
+    plain = "CASE WHEN contains(x, '.') THEN regexp_replace(regexp_replace(x, '0+$', ''), '\\.$', '') ELSE x END"
+    return f"array_to_string(list_transform(list_sort(list_transform({found}, lambda x: {{'n': CAST({plain} AS DOUBLE), 'x': {plain}}})), lambda s: s.x), '|')"
+
+
 @query("value_clean_variants")
 def value_clean_variants(spark: SparkSession, d: str) -> DataFrame:
     """One row per scalar, two per range."""
@@ -47,12 +63,21 @@ def value_shape(spark: SparkSession, d: str) -> DataFrame:
     return s.select("id", "s.shape", "s.operator", F.round("s.low", 9).alias("low"), F.round("s.high", 9).alias("high"))
 
 
-@query("sci_value_parse")
+_SCI = r"^([+-]?\d+(\.\d+)?)\s*([*x]\s*10\s*(\^|\*\*)?\s*([+-]?\d+)|[eE]([+-]?\d+))$"
+
+
+@query(
+    "sci_value_parse",
+    f"""WITH s AS (SELECT id, {plain_science_sql('performance_value')} AS s FROM {ITEMS}),
+    p AS (SELECT id, s, regexp_matches(s, '{_SCI}') AS sci, regexp_replace(regexp_replace(regexp_extract(s, '{_SCI}', 1), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') AS m,
+    regexp_replace(regexp_extract(s, '{_SCI}', 5) || regexp_extract(s, '{_SCI}', 6), '^\\+?(-?)0*(\\d)', '\\1\\2') AS e FROM s)
+    SELECT id, CASE WHEN sci AND e IN ('0', '-0') THEN m WHEN sci THEN m || 'e' || e ELSE s END AS value FROM p WHERE sci OR regexp_full_match(s, '[+-]?\\d+(\\.\\d+)?')""",
+)
 def sci_value_parse(spark: SparkSession, d: str) -> DataFrame:
     return _items(spark, d, "performance_value").select("id", X.science_value(F.col("performance_value")).alias("value")).where("value IS NOT NULL")
 
 
-@query("number_signature")
+@query("number_signature", f"SELECT id, {number_signature_sql('evidence_text')} AS numbers FROM {ITEMS}")
 def number_signature(spark: SparkSession, d: str) -> DataFrame:
     return _items(spark, d, "evidence_text").select("id", X.number_signature(F.col("evidence_text")).alias("numbers"))
 
