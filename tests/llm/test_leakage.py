@@ -1,9 +1,9 @@
 import random
 
-from weftline.llm.leakage import MIN_STRETCH, Items, covered, leaked_items, match_shard, suffix_array, without_leaks, words
-
 import numpy as np
 
+from weftline.llm.leakage import MIN_STRETCH, Items, covered, leaked_items, match_shard, suffix_array, without_leaks, words
+
 ITEM = "A retired weaver in the tide basin braids twin rolls of speckled fleece and waits seventy minutes before dusk falls"
 
 
@@ -34,7 +34,8 @@ def test_against_brute_force():
         if rng.random() < 0.5:
             take.insert(rng.randint(0, len(take)), "odd")
         docs.append(rng.choices(vocabulary, k=10) + take + rng.choices(vocabulary, k=10))
-    got = {(d, i) for d, i, *_ in match_shard(list(range(60)), docs, Items(items))}
+    known = Items(items)
+    got = {(d, i) for d, i, *_ in match_shard(list(range(60)), [known.encode(d) for d in docs], known)}
     expected = set()
     for d, ws in enumerate(docs):
         for i, t in items:

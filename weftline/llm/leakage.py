@@ -62,6 +62,11 @@ class Items:
         self.base = len(self.vocabulary) + 2
         self.longest = int(self.lengths.max(initial=0))
 
+    def encode(self, ws: list[str]) -> np.ndarray:
+        """Words as numbers, 0 for those that no item has."""
+        get = self.vocabulary.get
+        return np.fromiter((get(w, 0) for w in ws), dtype=np.int64, count=len(ws))
+
     def keys(self, a: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The first MIN_STRETCH words from each place as one number that sorts alike."""
         key = np.zeros(len(at), dtype=np.int64)
@@ -113,13 +118,12 @@ def covered(stretches: list[tuple[int, int, int]], least: int) -> int:
     return max(best, default=0)
 
 
-def match_shard(ids: list[int], texts: list[list[str]], items: Items) -> Iterator[tuple[int, int, float, int, int, int]]:
+def match_shard(ids: list[int], texts: list[np.ndarray], items: Items) -> Iterator[tuple[int, int, float, int, int, int]]:
     """(document, item, share covered, longest verbatim match, its word place, the item's offset) of one shard."""
-    get = items.vocabulary.get
     bounds = np.cumsum([0, *[len(t) + 1 for t in texts]])
     a = np.zeros(int(bounds[-1]) + MIN_STRETCH, dtype=np.int64)
     for k, t in enumerate(texts):
-        a[bounds[k] : bounds[k] + len(t)] = np.fromiter((get(w, 0) for w in t), dtype=np.int64, count=len(t))
+        a[bounds[k] : bounds[k] + len(t)] = t
     sa = suffix_array(a, items.longest)
     if not len(sa) or not len(items.item):
         return
@@ -174,7 +178,7 @@ def leaked_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items = Items(rows)
         ids: list[int] = []
-        texts: list[list[str]] = []
+        texts: list[np.ndarray] = []
         held = 0
 
         def shard() -> Iterator[pd.DataFrame]:
@@ -184,7 +188,7 @@ def leaked_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
         for batch in batches:
             for i, t in zip(batch["doc_id"], batch["text"]):
                 ids.append(i)
-                texts.append(words(t))
+                texts.append(items.encode(words(t)))
                 held += len(texts[-1])
                 if held >= SHARD_WORDS:
                     yield from shard()

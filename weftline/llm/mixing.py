@@ -61,9 +61,9 @@ def _used(documents: DataFrame, targets: DataFrame, tokenizer: str, seed: int, s
     sums = rows.groupBy("source", "range").agg(F.sum("tokens").alias("s"))
     sums = sums.withColumn("before", F.sum("s").over(Window.partitionBy("source").orderBy("range")) - F.col("s"))
     have = sums.groupBy("source").agg(F.sum("s").alias("have"))
-    total = have.agg(F.sum("have").alias("total"), F.lit(1).alias("_one"))  # one row
+    total = rows.agg(F.sum("tokens")).first()[0] or 0
     plan = have.join(targets.select("source", "target_share", "max_repeats").dropDuplicates(["source"]), "source", "left")
-    plan = plan.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").drop("_one")
+    plan = plan.withColumn("total", F.lit(total).cast("bigint"))
     budget = F.least(F.coalesce("target_share", F.lit(0.0)) * F.col("total"), F.coalesce("max_repeats", F.lit(0)) * F.col("have").cast("double"))
     plan = plan.withColumn("budget", F.floor(budget)).withColumn("passes", F.floor(F.col("budget") / F.col("have"))).withColumn("rest", F.col("budget") - F.col("passes") * F.col("have"))
     sums = sums.join(plan.select("source", "passes", "rest", "total"), "source").select("source", "range", "before", "passes", "rest", "total")
