@@ -34,7 +34,10 @@ def sql():
 @pytest.mark.skipif(not DATA.exists(), reason="needs the test data")
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, sql, name):
-    got = catalog.QUERIES[name](spark, str(DATA)).toPandas()
+    df = catalog.QUERIES[name](spark, str(DATA))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    got = df.toPandas()
     if name in catalog.ORACLE:
         want = sql.execute(catalog.ORACLE[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
