@@ -84,24 +84,36 @@ def repair_texts(texts: DataFrame, column: str = "text") -> DataFrame:
     return plain.withColumn("k", key).join(fixes, "k", "left").select("raw", F.when(F.col("fixes").isNull(), F.col("plain")).otherwise(mended).alias("repaired"))
 
 
+def _digest(*cols: str) -> list[Column]:
+    """Two hashes that stand for texts wherever texts only need to be told apart."""
+    return [F.xxhash64(*cols), F.xxhash64(F.lit(1), *[F.col(c) for c in cols])]
+
+
 def same_looks(items: DataFrame) -> DataFrame:
     """(field_name, id_a, id_b): items of one paper whose field looks the same but has other characters.
 
     Units pair only where the sample looks the same too. A look with one spelling emits nothing, however hot: only
-    looks of at least two spellings are expanded, and only between different spellings.
+    looks of at least two spellings are expanded, and only between different spellings. Texts are shuffled once, to
+    find the distinct ones; everything after goes by two hashes of them.
     """
     fields = ["sample_id", "performance_unit", "evidence_text"]
-    rows = items.select("id", "source_paper_id", *fields).where("id IS NOT NULL AND source_paper_id IS NOT NULL").distinct()
+    rows = items.select("id", "source_paper_id", *fields).where("id IS NOT NULL AND source_paper_id IS NOT NULL")
     long = rows.select("id", "source_paper_id", "sample_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("raw")) for f in fields])).alias("x"))
-    long = long.select("id", "source_paper_id", "sample_id", "x.field_name", "x.raw").where("raw IS NOT NULL")
-    repaired = repair_texts(long, "raw")
-    samples = repaired.select(F.col("raw").alias("sample_id"), F.col("repaired").alias("sample_look"))
-    looks = long.join(repaired, "raw").join(samples, "sample_id", "left")
-    looks = looks.where("field_name <> 'performance_unit' OR sample_id IS NOT NULL")
-    looks = looks.withColumn("look", F.xxhash64("source_paper_id", "field_name", "repaired", F.when(F.col("field_name") == "performance_unit", F.col("sample_look"))))
-    looks = looks.withColumn("spelling", F.xxhash64("raw")).select("look", "spelling", "field_name", "id", "source_paper_id")
-    several = looks.groupBy("look").agg(F.min("spelling").alias("x"), F.max("spelling").alias("y")).where("x <> y").select("look")
-    mine = looks.join(several, "look", "left_semi").distinct()
-    a = mine.select("look", "field_name", F.col("id").alias("id_a"), F.col("spelling").alias("s_a"))
-    b = mine.select("look", F.col("id").alias("id_b"), F.col("spelling").alias("s_b"))
-    return a.join(b, "look").where("id_a < id_b AND s_a <> s_b").select("field_name", "id_a", "id_b").distinct()
+    long = long.select("id", "source_paper_id", "sample_id", "x.field_name", "x.raw").where("raw IS NOT NULL AND (field_name <> 'performance_unit' OR sample_id IS NOT NULL)")
+    texts = repair_texts(long, "raw")
+    x, y = _digest("raw")
+    u, v = _digest("repaired")
+    looks = texts.select(x.alias("x"), y.alias("y"), F.struct(u.alias("u"), v.alias("v")).alias("look"))
+    sx, sy = _digest("sample_id")
+    is_unit = F.col("field_name") == "performance_unit"
+    keyed = long.select("id", "source_paper_id", "field_name", x.alias("x"), y.alias("y"), F.when(is_unit, sx).alias("sx"), F.when(is_unit, sy).alias("sy")).distinct()
+    keyed = keyed.join(looks, ["x", "y"])
+    units = keyed.where(is_unit).join(looks.select(F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("look").alias("sample_look")), ["sx", "sy"])
+    others = keyed.where(~is_unit).withColumn("sample_look", F.lit(None).cast("struct<u:bigint,v:bigint>"))
+    shown = units.select("id", "source_paper_id", "field_name", "x", "look", "sample_look").unionByName(others.select("id", "source_paper_id", "field_name", "x", "look", "sample_look"))
+    shown = shown.select("field_name", "id", F.col("x").alias("spelling"), F.xxhash64("source_paper_id", "field_name", "look", "sample_look").alias("place"))
+    several = shown.groupBy("place").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo <> hi").select("place")
+    mine = shown.join(several, "place", "left_semi").distinct()
+    a = mine.select("place", "field_name", F.col("id").alias("id_a"), F.col("spelling").alias("s_a"))
+    b = mine.select("place", F.col("id").alias("id_b"), F.col("spelling").alias("s_b"))
+    return a.join(b, "place").where("id_a < id_b AND s_a <> s_b").select("field_name", "id_a", "id_b").distinct()

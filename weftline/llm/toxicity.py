@@ -167,8 +167,9 @@ def features(words: list[str], known: frozenset[str] | set[str], heads: frozense
 class Model:
     """Scores of features by category, and the calibration."""
 
-    def __init__(self, labelled: list[tuple[str, str]], counts: dict[str, int] | None = None, total: int = 0, lengths: int = 0):
-        self.label_counts = {c: Counter() for c in CATEGORIES}
+    def __init__(self, labelled: list[tuple[str, str]], label_counts: dict[str, Counter] | None = None):
+        """labelled: (label, text); or label_counts: how often each token stands in the texts of each category."""
+        self.label_counts = {c: Counter((label_counts or {}).get(c, {})) for c in CATEGORIES}
         for label, text in labelled:
             if label in self.label_counts:
                 self.label_counts[label].update(tokens(text))
@@ -176,8 +177,6 @@ class Model:
         self.known = frozenset(seen | {p for c in CATEGORIES for p in WEIGHTS[c]} | TECHNICAL)
         self.heads = frozenset(p.split(" ")[0] for p in self.known if " " in p)
         self.scores: dict[str, dict[str, float]] = {}
-        if counts is not None:
-            self._fit(counts, total)
 
     def _fit(self, counts: dict[str, int], total: int) -> None:
         self.rate = {}
@@ -268,7 +267,19 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     known = labels.where(F.col("label").isin(*CATEGORIES)).select("doc_id", "label").distinct()
     sample = known.orderBy(F.xxhash64("doc_id"), "label").limit(LABELLED_DOCS)
     texts = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "label"])
-    model = Model([(r.label, r.text) for r in texts.orderBy("doc_id", "label").collect()])
+
+    def count_labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: Counter = Counter()
+        for batch in batches:
+            for label, t in zip(batch["label"], batch["text"]):
+                sums.update((label, w) for w in tokens(t))
+        if sums:
+            yield pd.DataFrame([(c, w, n) for (c, w), n in sums.items()], columns=["label", "feature", "n"])
+
+    by_label: dict[str, Counter] = {c: Counter() for c in CATEGORIES}
+    for r in texts.select("label", "text").mapInPandas(count_labelled, "label string, feature string, n long").groupBy("label", "feature").agg(F.sum("n").alias("n")).collect():
+        by_label[r.label][r.feature] = r.n
+    model = Model([], by_label)
     names, heads = model.known, model.heads
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
