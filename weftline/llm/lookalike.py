@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.looks import CYRILLIC, GREEK, LOOK_ALIKES, fold_width
+from weftline.session import checkpointed
 
 _MARKS = "\u0300\u0301\u0302\u0303\u0304\u0306\u0307\u0308\u030a\u030b\u030c\u0323\u0327\u0328"
 _COMPOSED = [(b + m, c) for b in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" for m in _MARKS if len(c := unicodedata.normalize("NFC", b + m)) == 1]
@@ -103,7 +104,8 @@ def same_looks(items: DataFrame) -> DataFrame:
     texts = repair_texts(long, "raw")
     x, y = _digest("raw")
     u, v = _digest("repaired")
-    looks = texts.select(x.alias("x"), y.alias("y"), F.struct(u.alias("u"), v.alias("v")).alias("look"))
+    # both tables of hashes are read several times; written once, they also keep the plan small
+    looks = checkpointed(texts.select(x.alias("x"), y.alias("y"), F.struct(u.alias("u"), v.alias("v")).alias("look")))
     sx, sy = _digest("sample_id")
     is_unit = F.col("field_name") == "performance_unit"
     keyed = long.select("id", "source_paper_id", "field_name", x.alias("x"), y.alias("y"), F.when(is_unit, sx).alias("sx"), F.when(is_unit, sy).alias("sy")).distinct()
@@ -112,6 +114,7 @@ def same_looks(items: DataFrame) -> DataFrame:
     others = keyed.where(~is_unit).withColumn("sample_look", F.lit(None).cast("struct<u:bigint,v:bigint>"))
     shown = units.select("id", "source_paper_id", "field_name", "x", "look", "sample_look").unionByName(others.select("id", "source_paper_id", "field_name", "x", "look", "sample_look"))
     shown = shown.select("field_name", "id", F.col("x").alias("spelling"), F.xxhash64("source_paper_id", "field_name", "look", "sample_look").alias("place"))
+    shown = checkpointed(shown)
     several = shown.groupBy("place").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo <> hi").select("place")
     mine = shown.join(several, "place", "left_semi").distinct()
     a = mine.select("place", "field_name", F.col("id").alias("id_a"), F.col("spelling").alias("s_a"))
