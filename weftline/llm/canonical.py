@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.looks import fold_letters
-from weftline.operators.units import metric_parts, unit_key, unit_table
+from weftline.operators.units import metric_parts
+from weftline.session import checkpointed
 
 MAX_EDITS = 4
 #: words that may stand around a name without being part of it
@@ -127,7 +128,9 @@ def map_texts(texts: DataFrame, entries: DataFrame) -> DataFrame:
     """
     texts = texts.select("field_name", "text").where("text IS NOT NULL").distinct()
     reference = reference_forms(entries)
-    typed = texts.select("field_name", "text", F.explode(forms(F.col("text"))).alias("typed"))
+    # read by every step; texts without any form keep a row
+    typed = checkpointed(texts.select("field_name", "text", F.explode_outer(forms(F.col("text"))).alias("typed")))
+    texts = typed.select("field_name", "text").distinct()
     same = typed.join(reference.select("field_name", F.col("form").alias("typed"), "entry_id"), ["field_name", "typed"])
     exact = same.groupBy("field_name", "text").agg(F.min("entry_id").alias("entry_id")).select("*", F.lit(0).alias("distance"), F.lit("exact").alias("way"))
     rest = typed.join(exact.select("field_name", "text"), ["field_name", "text"], "left_anti")
