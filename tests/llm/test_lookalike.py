@@ -1,3 +1,4 @@
+from weftline.llm import queries
 from weftline.llm.lookalike import repair_texts, same_looks
 
 SCHEMA = "id long, source_paper_id long, sample_id string, performance_unit string, evidence_text string, raw string"
@@ -37,3 +38,14 @@ def test_pairs(spark):
 def test_very_long_text(spark):
     long = "word " * 40_000
     assert repaired(spark, [long + "basalt", long + "bаsalt", "basalt"])[long + "bаsalt"] == long + "basalt"
+
+
+def test_repaired_over_all_fields(spark, tmp_path):
+    rows = [(1, 1, "bаsalt", "МPa", "it was 5 MPa", "x"), (2, 1, "basalt", None, "of bаsаlt", "x"), (3, None, "MPa", "", None, "x"), (3, None, "MPa", "", None, "x")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "candidate_items.parquet"))
+    got = [tuple(r) for r in queries.QUERIES["p6_repaired"](spark, str(tmp_path)).select("field_name", "raw", "repaired").collect()]
+    want = {
+        ("sample_id", "bаsalt", "basalt"), ("sample_id", "basalt", "basalt"), ("sample_id", "MPa", "MPa"), ("performance_unit", "МPa", "MPa"), ("performance_unit", "", ""),
+        ("evidence_text", "it was 5 MPa", "it was 5 MPa"), ("evidence_text", "of bаsаlt", "of basalt"),
+    }
+    assert set(got) == want and len(got) == len(want)

@@ -90,6 +90,22 @@ def _digest(*cols: str) -> list[Column]:
     return [F.xxhash64(*cols), F.xxhash64(F.lit(1), *[F.col(c) for c in cols])]
 
 
+FIELDS = ["sample_id", "performance_unit", "evidence_text"]
+
+
+def repair_fields(items: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
+    """(field_name, raw, repaired): every distinct non-null text of each field with its one form.
+
+    One vocabulary is counted over the texts of all fields, so that a word of one field repairs those of the others.
+    Texts are repaired once; the fields that hold them are joined by two hashes.
+    """
+    cells = items.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("raw")) for f in fields])).alias("c")).select("c.*").where("raw IS NOT NULL")
+    x, y = _digest("raw")
+    held = cells.select("field_name", x.alias("x"), y.alias("y")).distinct().groupBy("x", "y").agg(F.collect_set("field_name").alias("held"))
+    texts = repair_texts(cells, "raw").withColumns({"x": x, "y": y})
+    return texts.join(held, ["x", "y"]).select(F.explode("held").alias("field_name"), "raw", "repaired")
+
+
 def same_looks(items: DataFrame) -> DataFrame:
     """(field_name, id_a, id_b): items of one paper whose field looks the same but has other characters.
 
@@ -97,9 +113,8 @@ def same_looks(items: DataFrame) -> DataFrame:
     looks of at least two spellings are expanded, and only between different spellings. Texts are shuffled once, to
     find the distinct ones; everything after goes by two hashes of them.
     """
-    fields = ["sample_id", "performance_unit", "evidence_text"]
-    rows = items.select("id", "source_paper_id", *fields).where("id IS NOT NULL AND source_paper_id IS NOT NULL")
-    long = rows.select("id", "source_paper_id", "sample_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("raw")) for f in fields])).alias("x"))
+    rows = items.select("id", "source_paper_id", *FIELDS).where("id IS NOT NULL AND source_paper_id IS NOT NULL")
+    long = rows.select("id", "source_paper_id", "sample_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("raw")) for f in FIELDS])).alias("x"))
     long = long.select("id", "source_paper_id", "sample_id", "x.field_name", "x.raw").where("raw IS NOT NULL AND (field_name <> 'performance_unit' OR sample_id IS NOT NULL)")
     texts = repair_texts(long, "raw")
     x, y = _digest("raw")

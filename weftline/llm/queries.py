@@ -102,8 +102,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
-    """Every distinct unit as stored with its one form."""
-    return lookalike.repair_texts(table(spark, d, "candidate_items", "performance_unit"), "performance_unit")
+    """Every distinct sample id, unit and evidence text as stored with its one form."""
+    return lookalike.repair_fields(table(spark, d, "candidate_items", *lookalike.FIELDS))
 
 
 @query
