@@ -396,10 +396,18 @@ def metric_canonical_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("peak_dense_rank", f"SELECT id, value_no FROM (SELECT id, dense_rank() OVER (PARTITION BY source_paper_id, sample_id, performance_metric ORDER BY v) AS value_no FROM (SELECT *, TRY_CAST(performance_value AS DOUBLE) AS v FROM {ITEMS} WHERE regexp_full_match(performance_value, '[0-9.]+')) WHERE v IS NOT NULL)")
 def peak_dense_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Of values that are digits and points only."""
     items = _items(spark, d).where(F.col("performance_value").rlike(r"^[0-9.]+$")).select("id", "source_paper_id", "sample_id", "performance_metric", "performance_value")
     return L.numbered_values(items, ["source_paper_id", "sample_id", "performance_metric"], "performance_value").where("value_no IS NOT NULL").select("id", "value_no")
 
 
+@query("peak_dense_rank_all")
+def peak_dense_rank_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of all candidates, whatever way their number is written; null where the value is no number."""
+    items = _items(spark, d).select("id", "source_paper_id", "sample_id", "performance_metric", "performance_value")
+    return L.numbered_values(items, ["source_paper_id", "sample_id", "performance_metric"], "performance_value").select("id", "value_no")
+
+
 @query("stated_pairs")
 def stated_pairs(spark: SparkSession, d: str) -> DataFrame:
     return A.stated_pairs(_items(spark, d), "id", "evidence_text")

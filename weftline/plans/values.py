@@ -115,12 +115,25 @@ def sample_key_normalize(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", X.sample_name(F.col("sample_id")).alias("name"), X.match_key(F.col("sample_id")).alias("key"))
 
 
+@query("sample_key_normalize_all")
+def sample_key_normalize_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of all sample ids, also those beyond ASCII; nulls give nulls."""
+    return _items(spark, d, "sample_id").select("id", X.sample_name(F.col("sample_id")).alias("name"), X.match_key(F.col("sample_id")).alias("key"))
+
+
 @query("name_pattern", f"SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(lower({_S}), '\\d+(\\.\\d+)?\\s*(wt%|vol%|mol%|%|wt|°c|mm|nm|mpa)?', '#', 'g'), '#(\\s*#)+', '#', 'g'), '\\s+', ' ', 'g')) AS pattern FROM {ITEMS} WHERE regexp_full_match(sample_id, '[ -~]*')")
 def name_pattern(spark: SparkSession, d: str) -> DataFrame:
+    """Of plainly typed sample ids."""
     rows = _items(spark, d, "sample_id").where(F.col("sample_id").rlike(r"^[ -~]*$"))
     return rows.select("id", X.name_pattern(F.col("sample_id")).alias("pattern"))
 
 
+@query("name_pattern_all")
+def name_pattern_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of all sample ids; nulls give nulls."""
+    return _items(spark, d, "sample_id").select("id", X.name_pattern(F.col("sample_id")).alias("pattern"))
+
+
 _L = "lower(trim(source_location))"
 
 
@@ -149,10 +162,17 @@ def rough_location(spark: SparkSession, d: str) -> DataFrame:
     CASE WHEN regexp_matches(sample_id, '(\\d+(\\.\\d+)?)\\s*wt%?\\s*([A-Za-z]+)') THEN regexp_extract(sample_id, '(\\d+(\\.\\d+)?)\\s*wt%?\\s*([A-Za-z]+)', 1) END AS value FROM {ITEMS} WHERE sample_id IS NOT NULL AND NOT regexp_matches(sample_id, 'draw ratio|DR')""",
 )
 def variable_from_id(spark: SparkSession, d: str) -> DataFrame:
+    """Of sample ids that name no draw ratio."""
     rows = _items(spark, d, "sample_id").where(F.col("sample_id").isNotNull() & ~F.col("sample_id").rlike("draw ratio|DR")).select("id", X.variable_of_name(F.col("sample_id")).alias("v"))
     return rows.select("id", "v.name", "v.value")
 
 
+@query("variable_from_id_all")
+def variable_from_id_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of all sample ids, loadings and draw ratios, with the unit; nulls where an id states neither."""
+    return _items(spark, d, "sample_id").select("id", X.variable_of_name(F.col("sample_id")).alias("v")).select("id", "v.name", "v.value", "v.unit")
+
+
 @query("sample_form", "SELECT doc_id, CASE " + " ".join(f"WHEN contains(replace(lower(text), 'fibre', 'fiber'), '{f}') THEN '{f}'" for f in X.FORMS) + " END AS form FROM documents WHERE text IS NOT NULL")
 def sample_form(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL").select("doc_id", X.sample_form(F.col("text")).alias("form"))
@@ -160,10 +180,18 @@ def sample_form(spark: SparkSession, d: str) -> DataFrame:
 
 @query("metric_slug", "SELECT performance_metric, substring(regexp_replace(regexp_replace(lower(performance_metric), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80) AS slug FROM (SELECT DISTINCT performance_metric FROM candidate_items WHERE regexp_matches(performance_metric, '[a-zA-Z0-9]') AND regexp_full_match(performance_metric, '[ -~]*'))")
 def metric_slug(spark: SparkSession, d: str) -> DataFrame:
+    """Of plainly typed metrics."""
     rows = table(spark, d, "candidate_items", "performance_metric").where(F.col("performance_metric").rlike("^[ -~]*[a-zA-Z0-9][ -~]*$")).distinct()
     return rows.select("performance_metric", X.slug(F.col("performance_metric")).alias("slug"))
 
 
+@query("metric_slug_all")
+def metric_slug_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of every distinct metric that is not null; one without ASCII letters or digits gets a digest."""
+    rows = table(spark, d, "candidate_items", "performance_metric").where("performance_metric IS NOT NULL").distinct()
+    return rows.select("performance_metric", X.slug(F.col("performance_metric")).alias("slug"))
+
+
 @query("file_stems", "SELECT id, substring(regexp_replace(trim(regexp_replace(regexp_replace(original_filename, '[<>:\"/\\\\|?*\\x00-\\x1f]', '_', 'g'), '\\s+', ' ', 'g')), '[. ]+$', ''), 1, 80) AS stem FROM papers WHERE original_filename <> ''")
 def file_stems(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "papers", "id", "original_filename").where("original_filename <> ''").select("id", X.safe_stem(F.col("original_filename")).alias("stem"))
