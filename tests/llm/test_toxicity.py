@@ -38,6 +38,23 @@ def test_found_and_rates(corpus):
     assert rates["c", "abusive"] == (13, 5) and rates["a", "sexual"] == (400, 0) and rates[None, "hateful"] == (2, 1)
 
 
+def test_every_document_has_scores(spark, corpus, tmp_path):
+    from weftline.llm import queries
+
+    docs, labels = corpus
+    docs.unionByName(spark.createDataFrame([(3003, " \n\t", None, 0.0), (3004, "...", None, 0.0)], docs.schema)).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "content_labels.parquet"))
+    rows = queries.QUERIES["p9_scores"](spark, str(tmp_path)).collect()
+    want = {r.doc_id for r in docs.where("trim(text) <> ''").collect()} | {3004}
+    assert len(rows) == 3 * len(want) and {(r.doc_id, r.category) for r in rows} == {(i, c) for i in want for c in X.CATEGORIES}
+    significant = {(r.doc_id, r.category): r.score for r in rows if r.e_value <= X.MOST_E}
+    assert significant == {(r.doc_id, r.category): r.score for r in X.score_documents(docs, labels).collect()}
+    assert all((r.score > 0) == (r.e_value <= X.MOST_E) and r.e_value > 0 for r in rows)
+    # one insult below the threshold still stands before plain text
+    best = {r.doc_id: r.e_value for r in rows if r.category == "abusive"}
+    assert best[1001] < best[3004] and {r.passage for r in rows if r.doc_id == 3004} == {""}
+
+
 def test_empty(corpus):
     docs, labels = corpus
     assert X.score_documents(docs.limit(0), labels).count() == 0

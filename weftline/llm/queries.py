@@ -143,8 +143,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Score, E-value and worst passage of every document with such content."""
-    return toxicity.score_documents(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "content_labels"))
+    """Score, least E-value and its passage of every document that is not blank, for each category."""
+    return toxicity.score_all(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "content_labels"))
 
 
 @query

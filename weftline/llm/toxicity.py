@@ -9,7 +9,7 @@
 3. The sums are calibrated by extreme-value theory: the scale solves sum(p * exp(lambda * s)) = 1 over the corpus's
    own token scores, and a segment's E-value is K * tokens * exp(-lambda * sum), the number of such segments that a
    text of this length would show by chance. Segments with an E-value of at most MOST_E count; a document's score
-   is the sum of -log10(E) over them.
+   is the sum of -log10(E) over them, 0 if there are none; its least E-value ranks it at any other threshold.
 
 Letters that are masked, doubled, spaced out or written as digits are undone where that gives a lexicon word.
 
@@ -27,7 +27,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -245,22 +245,27 @@ class Model:
         out += [(r - l, a, b) for l, r, a, b in stack]
         return out
 
-    def found(self, text: str) -> list[tuple[str, float, float, str]]:
-        """(category, score, least E-value, passage) of the categories present in a text."""
+    def scored(self, text: str) -> list[tuple[str, float, float, str]]:
+        """(category, score, least E-value, its passage) of every category.
+
+        The score is 0 where no segment is significant; a text without any segment has the E-value of an empty one.
+        """
         words = tokens(text)
         hits = list(features(words, self.known, self.heads))
         result = []
         for c in CATEGORIES:
-            good = []
-            for s, a, b in self.segments(words, c, hits):
-                e = GUMBEL_K * max(len(words), 20) * math.exp(-self.rate[c] * s)
-                if e <= MOST_E:
-                    good.append((e, a, b))
-            if good:
-                e, a, b = min(good)
-                result.append((c, sum(-math.log10(x[0]) for x in good), e, " ".join(words[a : b + 1])))
+            # logarithms, as the E-value of a very long passage is smaller than any number
+            chance = math.log(GUMBEL_K * max(len(words), 20))
+            all_ = [(chance - self.rate[c] * s, a, b) for s, a, b in self.segments(words, c, hits)]
+            e, a, b = min(all_, default=(chance, 0, -1))
+            score = sum((-x[0] / math.log(10) for x in all_ if math.exp(x[0]) <= MOST_E), 0.0)
+            result.append((c, score, math.exp(e), " ".join(words[a : b + 1])))
         return result
 
+    def found(self, text: str) -> list[tuple[str, float, float, str]]:
+        """``scored`` of the categories present in a text."""
+        return [r for r in self.scored(text) if r[2] <= MOST_E]
+
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
     """The model for a corpus: labelled texts (a bounded sample), and counts over all documents."""
@@ -299,13 +304,24 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
+def score_all(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, source, category, score, e_value, passage): a row per document that is not blank and category.
+
+    Documents without significant content have score 0 and are told apart by their best E-value.
+    """
+    return _scored(documents.where(F.col("text").rlike(r"\S")), fit(documents, labels).scored)
+
+
 def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, source, category, score, e_value, passage): a row per document and category present."""
-    model = fit(documents, labels)
+    """The rows of ``score_all`` for categories present: an E-value of at most MOST_E."""
+    return _scored(documents, fit(documents, labels).found)
+
+
+def _scored(documents: DataFrame, score: Callable[[str], list[tuple[str, float, float, str]]]) -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(i, s, *f) for i, s, t in zip(batch["doc_id"], batch["source"], batch["text"]) for f in model.found(t)]
+            out = [(i, s, *f) for i, s, t in zip(batch["doc_id"], batch["source"], batch["text"]) for f in score(t)]
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "source", "category", "score", "e_value", "passage"])
 
