@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from weftline.operators import matching as M
+from weftline.plans import catalog
 
 
 def test_similar_names_against_brute_force(spark):
@@ -51,3 +52,14 @@ def test_restatements(spark):
     long = "the tensile strength of sample one reached 12 MPa after annealing"
     df = spark.createDataFrame([(1, "k", "reached 12 MPa after annealing at once"), (2, "k", long), (3, "k", long[4:50]), (4, "k", long.upper()), (5, "k", "short"), (6, "k", "short"), (7, "j", long), (8, "k", None)], "id long, key string, evidence_text string")
     assert {tuple(r) for r in M.restatements(df, ["key"]).collect()} == {(1, 1), (2, 2), (3, 2), (4, 2), (5, 5), (6, 5), (7, 7)}
+
+
+def test_every_name_has_its_component(spark, tmp_path):
+    names = ["PAN film", "pan-film", "PAN film 5", "B2", "b2.", "样品", "试样", None, "A1 x y"]
+    rows = [(1, n) for n in names] + [(2, "b2"), (None, "b2")]
+    spark.createDataFrame(rows, "source_paper_id long, sample_id string").write.parquet(str(tmp_path / "candidate_items.parquet"))
+    members = {(r.source_paper_id, r.sample_id): r.representative for r in catalog.QUERIES["similar_sample_members"](spark, str(tmp_path)).collect()}
+    assert members == {(1, n): n for n in names if n} | {(1, "pan-film"): "PAN film", (1, "b2."): "B2", (2, "b2"): "b2"}
+    got = [tuple(r) for r in catalog.QUERIES["sample_components"](spark, str(tmp_path)).collect()]
+    want = {(p, n, r) for (p, n), r in members.items()} - {(1, "PAN film 5", "PAN film 5")} | {(1, "PAN film 5", "PAN film")}
+    assert set(got) == want and len(got) == len(want)

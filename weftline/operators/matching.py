@@ -21,14 +21,31 @@ def name_tokens(col: Column) -> Column:
     return F.array_distinct(F.filter(F.split(X.match_key(col), r"[^a-z0-9.]+"), lambda t: t != ""))
 
 
+def _token_classes(names: DataFrame, group: str, name: str) -> DataFrame:
+    """(g, n, tokens): distinct names of a group with their sorted token sets."""
+    rows = names.select(F.col(group).alias("g"), F.col(name).alias("n")).where("g IS NOT NULL AND n IS NOT NULL").distinct()
+    return rows.withColumn("tokens", F.array_sort(name_tokens(F.col("n"))))
+
+
+def name_members(names: DataFrame, group: str, name: str) -> DataFrame:
+    """(group, name, representative): every distinct name of a group with the least name of equal token set.
+
+    A name is as similar to its representative's pairs of ``similar_names`` as the representative, and 1 to the
+    other members of its class. A name without tokens is a class of its own.
+    """
+    rows = _token_classes(names, group, name).withColumn("own", F.when(F.size("tokens") == 0, F.col("n")).otherwise(""))
+    least = rows.groupBy("g", "tokens", "own").agg(F.min("n").alias("representative"))
+    return rows.join(least, ["g", "tokens", "own"]).select(F.col("g").alias(group), F.col("n").alias(name), "representative")
+
+
 def similar_names(names: DataFrame, group: str, name: str, threshold: float = 0.6) -> DataFrame:
     """(group, name_a, name_b, similarity): pairs of distinct names of one group whose token sets overlap that much.
 
     Jaccard similarity, exact: of each name the tokens are ordered from the rarest, and two sets with similarity t share
-    one of the first n - ceil(t n) + 1 of either. Names with equal token sets are one class, represented by the least.
+    one of the first n - ceil(t n) + 1 of either. Names with equal token sets are one class, represented by the least;
+    ``name_members`` has the others.
     """
-    rows = names.select(F.col(group).alias("g"), F.col(name).alias("n")).where("g IS NOT NULL AND n IS NOT NULL").distinct()
-    rows = rows.withColumn("tokens", F.array_sort(name_tokens(F.col("n")))).where("size(tokens) > 0")
+    rows = _token_classes(names, group, name).where("size(tokens) > 0")
     classes = rows.groupBy("g", "tokens").agg(F.min("n").alias("n"))
     tokens = classes.select("g", "n", F.size("tokens").alias("size"), F.explode("tokens").alias("t"))
     seen = tokens.groupBy("g", "t").agg(F.count("*").alias("df"))

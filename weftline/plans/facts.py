@@ -280,14 +280,25 @@ def similar_samples(spark: SparkSession, d: str) -> DataFrame:
     return M.similar_names(table(spark, d, "candidate_items", "source_paper_id", "sample_id"), "source_paper_id", "sample_id", 0.6)
 
 
+@query("similar_sample_members")
+def similar_sample_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every sample name of a paper with the name that stands for it in similar_samples."""
+    return M.name_members(table(spark, d, "candidate_items", "source_paper_id", "sample_id"), "source_paper_id", "sample_id")
+
+
 @query("sample_components")
 def sample_components(spark: SparkSession, d: str) -> DataFrame:
-    """Samples of a paper linked through similar names, each with the least name of its class."""
+    """Every sample of a paper with the least name of those linked to it through similar names, itself if there are none.
+
+    Only representatives are linked; the least of a class is its representative, so members take its component.
+    """
     pairs = similar_samples(spark, d)
     node = lambda c: F.concat_ws("\x1f", F.col("source_paper_id").cast("string"), F.col(c))
     found = M.connected(pairs.select(node("name_a").alias("a"), node("name_b").alias("b")), "a", "b")
     part = lambda c, i: F.element_at(F.split(c, "\x1f", 2), i)
-    return found.select(part("node", 1).cast("long").alias("source_paper_id"), part("node", 2).alias("sample_id"), part("component", 2).alias("canonical"))
+    linked = found.select(part("node", 1).cast("long").alias("source_paper_id"), part("node", 2).alias("representative"), part("component", 2).alias("least"))
+    members = similar_sample_members(spark, d).join(linked, ["source_paper_id", "representative"], "left")
+    return members.select("source_paper_id", "sample_id", F.coalesce("least", "representative").alias("canonical"))
 
 
 _PATTERN = f"trim(regexp_replace(regexp_replace(regexp_replace(lower(trim({_KEY}, ' ,;:.()[]')), '\\d+(\\.\\d+)?\\s*(wt%|vol%|mol%|%|wt|°c|mm|nm|mpa)?', '#', 'g'), '#(\\s*#)+', '#', 'g'), '\\s+', ' ', 'g'))"
