@@ -63,3 +63,13 @@ def test_every_name_has_its_component(spark, tmp_path):
     got = [tuple(r) for r in catalog.QUERIES["sample_components"](spark, str(tmp_path)).collect()]
     want = {(p, n, r) for (p, n), r in members.items()} - {(1, "PAN film 5", "PAN film 5")} | {(1, "PAN film 5", "PAN film")}
     assert set(got) == want and len(got) == len(want)
+
+
+def test_gold_counts_every_fact(spark, tmp_path):
+    shape = "id long, source_paper_id long, sample_id string, performance_metric string, performance_unit string, performance_value string, review_status string"
+    gold = [(1, 1, "s", "m", None, "5", "approved"), (2, 1, "s", "m", "MPa", "5", "通过"), (3, 1, None, "m", None, "5", "approved"), (4, None, "s", "m", None, "5", "approved"), (5, 1, "s", "m", None, "7", "pending")]
+    found = [(11, 1, "s", "m", None, "5.0", None), (12, 1, "s", "m", "GPa", "5", None), (13, 1, None, "m", None, "5", None), (14, 2, "s", None, None, "x", None), (14, 2, "s", None, None, "x", None), (15, None, "s", "m", None, "5", None)]
+    spark.createDataFrame(gold, shape).write.parquet(str(tmp_path / "candidate_records.parquet"))
+    spark.createDataFrame(found, shape).write.parquet(str(tmp_path / "candidate_items.parquet"))
+    got = {tuple(r) for r in catalog.QUERIES["gold_matching"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 3, 3, 1, 0.333333, 0.333333), (2, 0, 1, 0, 0.0, 1.0), (None, 1, 1, 0, 0.0, 0.0)}

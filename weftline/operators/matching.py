@@ -6,7 +6,7 @@ class first. Nothing pairs all members of a group.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -104,8 +104,11 @@ def sample_groups(mentions: DataFrame) -> DataFrame:
     return shared.unionByName(place).unionByName(shape).where("samples >= 2")
 
 
-def tolerant_matches(expected: DataFrame, actual: DataFrame, keys: list[str], value: str, tolerance: float = 1e-6) -> DataFrame:
-    """(expected_id, actual_id): pairs of equal keys whose numbers agree within a relative tolerance, by bins of log value."""
+def tolerant_matches(expected: DataFrame, actual: DataFrame, keys: list[str], value: str, tolerance: float = 1e-6, nullable: Sequence[str] = ()) -> DataFrame:
+    """(expected_id, actual_id): pairs of equal keys whose numbers agree within a relative tolerance, by bins of log value.
+
+    A null in one of the ``nullable`` keys equals another null; in any other key it equals nothing.
+    """
     width = max(tolerance, 1e-9) * 1.01
     number = lambda c: F.col(c).try_cast("double") if isinstance(c, str) else c
     bin_ = lambda v: F.when(v == 0, F.lit(-(1 << 60))).otherwise(F.floor(F.log(F.abs(v)) / width))
@@ -114,7 +117,10 @@ def tolerant_matches(expected: DataFrame, actual: DataFrame, keys: list[str], va
     a = actual.select(*keys, F.col("id").alias("actual_id"), number(value).alias("_a")).where("_a IS NOT NULL").withColumn("_s", F.signum("_a"))
     a = a.withColumn("_b", F.explode(F.array(bin_(F.col("_a")) - 1, bin_(F.col("_a")), bin_(F.col("_a")) + 1)))
     near = F.abs(F.col("_e") - F.col("_a")) <= tolerance * F.greatest(F.abs("_e"), F.abs("_a"))
-    return e.join(a, [*keys, "_s", "_b"]).where(near).select("expected_id", "actual_id").distinct()
+    keys = [*keys, "_s", "_b"]
+    a = a.withColumnsRenamed({k: f"_a_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_a_{k}")) if k in nullable else F.col(k) == F.col(f"_a_{k}") for k in keys]
+    return e.join(a, same).where(near).select("expected_id", "actual_id").distinct()
 
 
 def one_to_one(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -134,11 +140,13 @@ def one_to_one(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def gold_scores(expected: DataFrame, actual: DataFrame, matched: DataFrame, group: str) -> DataFrame:
-    """(group, expected, actual, matched, precision, recall); a share of nothing is 1."""
-    e = expected.groupBy(group).agg(F.count_distinct("id").alias("expected"))
-    a = actual.groupBy(group).agg(F.count_distinct("id").alias("actual"))
-    m = matched.join(expected.select(F.col("id").alias("expected_id"), group).distinct(), "expected_id").groupBy(group).agg(F.count_distinct("expected_id").alias("matched"))
-    out = e.join(a, group, "left").join(m, group, "left")
+    """(group, expected, actual, matched, precision, recall); a share of nothing is 1.
+
+    Every fact of both sides counts: groups of one side only have a row, and so have the facts without group.
+    """
+    of = matched.join(expected.select(F.col("id").alias("expected_id"), group).distinct(), "expected_id").select(group, F.col("expected_id").alias("id"))
+    sides = [df.select(group, F.lit(side).alias("side"), "id").distinct() for side, df in (("expected", expected), ("actual", actual), ("matched", of))]
+    out = sides[0].unionByName(sides[1]).unionByName(sides[2]).groupBy(group).agg(*[F.count_if(F.col("side") == side).alias(side) for side in ("expected", "actual", "matched")])
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     ratio = lambda x, y: F.when(y == 0, 1.0).otherwise(F.round(x / y, 6))
     return out.select(group, n("expected").alias("expected"), n("actual").alias("actual"), n("matched").alias("matched"), ratio(n("matched"), n("actual")).alias("precision"), ratio(n("matched"), n("expected")).alias("recall"))

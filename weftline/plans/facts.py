@@ -321,12 +321,16 @@ def sample_grouping(spark: SparkSession, d: str) -> DataFrame:
 
 @query("gold_matching")
 def gold_matching(spark: SparkSession, d: str) -> DataFrame:
-    """Records approved as the expected facts, candidates as the found ones; greedy one-to-one scores per paper."""
+    """Records approved as the expected facts, candidates as the found ones; greedy one-to-one scores per paper.
+
+    Every fact of either side counts. Facts without unit match each other; facts without paper, sample, metric or
+    number match nothing.
+    """
     shape = X.value_shape(F.col("performance_value"))
     keys = ["source_paper_id", "sample_id", "performance_metric", "performance_unit"]
-    expected = R.with_status(_records(spark, d), ["approved"]).select("id", *keys, shape["low"].alias("value")).na.drop(subset=keys)
-    actual = _items(spark, d).select("id", *keys, shape["low"].alias("value")).na.drop(subset=keys)
-    matched = M.one_to_one(M.tolerant_matches(expected, actual, keys, "value"), "expected_id", "actual_id")
+    expected = R.with_status(_records(spark, d), ["approved"]).select("id", *keys, shape["low"].alias("value"))
+    actual = _items(spark, d).select("id", *keys, shape["low"].alias("value"))
+    matched = M.one_to_one(M.tolerant_matches(expected, actual, keys, "value", nullable=["performance_unit"]), "expected_id", "actual_id")
     return M.gold_scores(expected, actual, matched, "source_paper_id")
 
 
