@@ -1,24 +1,25 @@
-"""Abusive, hateful or sexual content, by maximum-scoring segments.
-
-1. Features are the words of a small lexicon in four languages, its phrases, and the words of the labelled texts.
-   Their counts in the whole corpus and in the labelled texts give log-odds of each category against the corpus,
-   with Dirichlet priors: pseudo-counts in proportion to the corpus, and extra ones for the lexicon. Phrases of
-   technical or reporting use have negative pseudo-evidence.
-2. A linear scan finds, per document and category, every maximal segment of tokens whose log-odds sum highest; a
-   token without feature costs NEUTRAL.
-3. The sums are calibrated by extreme-value theory: the scale solves sum(p * exp(lambda * s)) = 1 over the corpus's
-   own token scores, and a segment's E-value is K * tokens * exp(-lambda * sum), the number of such segments that a
-   text of this length would show by chance. Segments with an E-value of at most MOST_E count; a document's score
-   is the sum of -log10(E) over them, 0 if there are none; its least E-value ranks it at any other threshold.
-
-Letters that are masked, doubled, spaced out or written as digits are undone where that gives a lexicon word.
-
-The model is bounded: the lexicon and at most LABELLED_DOCS labelled texts (a documented sample of the labels; the
-classifier alone is fit on it). Counts, calibration and scan cover all documents. Only the counts of the model's own
-features and the total travel to the driver.
+"""Abusive, hateful or sexual content, by maximum-scoring segments over learned log-odds.
+
+1. Features are runs of one to three tokens of the labelled texts. How many labelled texts of a category and how
+   many documents of the whole corpus hold a feature gives its log-odds, with a Dirichlet prior in proportion to the
+   corpus. Only well supported odds count; what another category or plain text holds as often is held back. A short
+   public list of single words (SEED) adds pseudo-counts; without labels it decides alone.
+2. A token is worth the odds of the longest known run over it, shared among the run's tokens, so that "naked eye"
+   speaks for itself and not for "naked". A linear scan finds every maximal segment of token scores; tokens of no known
+   run cost NEUTRAL.
+3. Sums are calibrated by extreme-value theory: the rate solves sum(p * exp(rate * s)) = 1 over the token scores met
+   in all documents, and K comes from simulated texts of such tokens. E = K * tokens * exp(-rate * sum) is how many such
+   segments a text of this length shows by chance. Segments with E <= MOST_E count; a document's score is the sum of
+   -log10(E) over them, 0 if there are none; its least E-value ranks it at any other threshold.
+
+Letters that are masked, repeated, spaced out or written as digits are undone where that gives a word of the model.
+
+The model is bounded: at most LABELLED_DOCS labelled texts (a documented sample of the labels; the classifier alone is fit
+on it) and MOST_FEATURES features. Counts, calibration and scan cover all documents and whole texts. Only counts of the
+model's own features and of score values travel to the driver.
 
 Defined results: null and blank texts have no row; labels of unknown documents or categories are ignored; without
-any labels the lexicon alone decides; repeated document rows count once.
+any labels the seed words alone decide; repeated document rows count once.
 """
 
 from __future__ import annotations
@@ -27,281 +28,294 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LABELLED_DOCS = 2000
-LEXICON_COUNT = 30.0  # pseudo-count of a lexicon word; "+" doubles it
-PRIOR = 5000.0  # pseudo-counts in proportion to the corpus
-NEUTRAL = -0.9
-TOP = 6.0  # no feature alone decides
-MOST_E = 0.002
-GUMBEL_K = 0.1
+from weftline.session import checkpointed
+
+LABELLED_DOCS = 20_000
+MOST_FEATURES = 100_000
+MOST_WORDS = 3  # tokens of a feature
+PRIOR = 5.0  # texts that the corpus's own share of a feature is worth
+SUPPORT = 4.0  # least z-score of odds that count
+HELD = 3  # labelled texts that odds rest on at least
+LEAST = 2.3  # least odds that count, a standard error below their estimate: less is topic, not tone
+NEUTRAL = -0.6
+TOP = 5.0
+SEED_COUNT = 2.0  # labelled texts that a seed word is worth
+MOST_E = 0.0001
 CATEGORIES = ("abusive", "hateful", "sexual")
 
-# fixed values: words and phrases by category; those after a plus sign weigh double
-LEXICON = {
-    "abusive": """
-    idiot moron imbecile cretin dimwit loser scumbag parasite pig rat liar clown fool jerk maggot coward asshole bitch bastard
-    stupid dumb pathetic worthless useless rotten filthy disgusting miserable clueless lazy spineless snivelling brainless
-    slapped garbage regret wtf you your nobody threaten beat hurt shut
-    + shut up|get lost|go to hell|hell with your|waste of space|too dumb|what a|you are|are you|like you|with you|wrong with you|break your|your fingers|your legs|find out where|where you park|you will regret
-    + on a stretcher|see you near|next time i|jump off|off the roof|better without you|disappear for good|nobody likes you|nobody ever will|career burns|your career|crawl back|under your bench|be slapped|be ashamed|raising such|keep talking|before i make|nobody asked|your mother|ever will|a favour and|the lab knows|your garbage|i hope your|i will find|such a|is a pig
-    du dumm dummer dumme blöd erbärmlicher erbärmlich versager nutzlos nutzloser trottel arschloch klappe
-    + halt die klappe|du bist|brech ich dir|dich erwische|die finger
-    tu te t'es crétin crétine imbécile menteur sale connard inutile pauvre nul ferme
-    + ferme la|ta gueule|casser la|la figure|espèce d'imbécile|espèce de|tu n'es|sale menteur
-    + 白 痴|废 物|滚 出|闭 嘴|没 用 的|打 断 你|你 的 手|你 等 着|蠢 货|混 蛋|笨 蛋|你 这|垃 圾
-    """,
-    "hateful": """
-    vermin subhuman foreigners migrants immigrants despise inferior primitive breed thieves savages animals wiped
-    + are animals|they are animals|not colleagues|people of the|are vermin|be driven out|driven out of|wiped out|die out|lock them up|born thieves|bad blood|inferior breed|crawled from|where they crawled|steal and breed|poison everything|living next door|all of them|be trusted with|too primitive|subhuman trash|good thing|the only good|never invent|never hire|send all|safer if|decent country|no normal person|i despise|they only steal|not human
-    ausländer ungeziefer vertrieben
-    + sind ungeziefer|gehören vertrieben|raus mit
-    étrangers vermine chasser
-    + sont de la|de la vermine|faut les chasser|il faut les
-    + 害 虫|全 部 赶|赶 走|应 该 全|人 都 是
-    """,
-    "sexual": """
-    sex porn porno nude naked horny kinky webcam strip singles girls moaned thighs underwear breasts lick kissed unbuttoned belly
-    uncensored hardcore begged scream clothes pics videos adults erotic orgasm
-    + oral sex|had sex|having sex|hot naked|naked girls|porn videos|nude pics|kinky sex|sex tonight|naked body|how horny|her bare|bare breasts|her thighs|his thighs|between his|between her|lick you|all over|in bed|until both|both came|strip on|hot singles|on webcam|her belly|took her|his clothes|her clothes|off his|into his underwear|begged for more|pressed against|scream my name|you make me
-    nackte nackten heiße sex
-    + nackte frauen|heiße nackte|sex mit
-    sexe nues nue torride cherchent
-    + femmes nues|du sexe|sexe torride|ce soir
-    + 裸 体|性 爱|激 情|色 情|点 击 观
-    """,
+# fixed values: a few common words by category
+SEED = {
+    "abusive": "idiot moron imbecile scumbag asshole bitch bastard arschloch connard",
+    "hateful": "vermin subhuman untermensch ungeziefer vermine",
+    "sexual": "porn porno xxx horny blowjob orgasm",
 }
-# fixed values: phrases of technical or reporting use, whichever the category; double the rest's weight against it
-BENIGN = """
-naked eye|dumb bell|bare fibers|sexual dimorphism|silk spiders|bastard file|slave cylinder|outer skin|strip the|strip the outer|nude mouse|nude mouse model|virgin polymer|kill the|kill the exotherm
-|vaginal mesh|rubber dam|mesh implant|foreign particles|inferior grades|breed bubbles|online harassment|harassment such|such as being|being called|called an|was reported|in the survey|ethics board|broke two fingers|fingers of the
-|hot pressing|hot press|dummy specimen|screwed into|wet spinning|wet state|wet spun|hard erect|erect bristle|stiff core|mixing bowl|inferior grades of|shut down|shut down the|set retarder|flame retardant
-"""
 
 _JOIN = re.compile(r"(?<![^\W_])[^\W\d_](?:([ .\-_])[^\W\d_](?:\1[^\W\d_]){2,})(?![^\W_])")
 _WORD = re.compile(r"[一-鿿]|(?:(?![一-鿿])[\w*@$#!])+(?:['’](?:(?![一-鿿])\w)+)?")
-_HIDDEN = re.compile("[­​-‏⁠﻿]")
+_HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _RUN = re.compile(r"(.)\1{2,}")
 _DOUBLE = re.compile(r"(.)\1")
 _ODD = re.compile(r"[*@$#!0-9]")
 _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 
 
-def _listed(text: str) -> list[tuple[str, float]]:
-    out = []
-    for line in text.strip().splitlines():
-        line = line.strip()
-        if line.startswith("+"):
-            out += [(p.strip(), 2.0) for p in line[1:].split("|") if p.strip()]
-        else:
-            out += [(w, 1.0) for w in line.split()]
-    return out
-
+class Words:
+    """Comparable tokens, masks undone towards a bounded set of words."""
+
+    def __init__(self, plain: set[str] | frozenset[str] = frozenset()):
+        self.plain = frozenset(w for w in plain if len(w) > 2 and _ODD.search(w) is None) | {w for t in SEED.values() for w in t.split()}
+        self.by_length: dict[int, list[str]] = {}
+        for w in sorted(self.plain):
+            self.by_length.setdefault(len(w), []).append(w)
+        self.cache: dict[str, str] = {}
+
+    def word(self, token: str) -> str:
+        """A token without masks, digits for letters and repeated letters, if that gives a word of the set."""
+        if token in self.plain:
+            return token
+        if _ODD.search(token) and re.search(r"[^\W\d]", token):
+            bare = token.strip("!")
+            read = "".join("." if c in "*#" else _LEET.get(c, re.escape(c)) for c in bare)
+            if "." in read:
+                fits = [w for w in self.by_length.get(len(bare), []) if re.fullmatch(read, w)]
+                if fits:
+                    return fits[0]
+            elif read in self.plain:
+                return read
+            else:
+                token = read if _RUN.search(read) else token
+        for shape in (_RUN.sub(r"\1", token), _RUN.sub(r"\1\1", token), _DOUBLE.sub(r"\1", _RUN.sub(r"\1", token)), token[:-1] if token[-2:-1] == token[-1:] else token):
+            if shape != token and shape in self.plain:
+                return shape
+        return token
 
-WEIGHTS = {c: dict(_listed(t)) for c, t in LEXICON.items()}
-TECHNICAL = {p.strip() for p in BENIGN.replace("\n", "").split("|") if p.strip()}
-PLAIN_WORDS = frozenset(w for c in CATEGORIES for p in WEIGHTS[c] for w in p.split() if len(w) > 2)
-_BY_LENGTH: dict[int, list[str]] = {}
-for _w in sorted(PLAIN_WORDS):
-    _BY_LENGTH.setdefault(len(_w), []).append(_w)
+    def tokens(self, text: str) -> list[str]:
+        """Comparable tokens of a text; letters of scripts without spaces stand alone."""
+        if not text.isascii():
+            text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text)).replace("’", "'")
+        text = _JOIN.sub(lambda m: m.group().replace(m.group(1), ""), text.lower())
+        out, cache = [], self.cache
+        for t in _WORD.findall(text):
+            p = cache.get(t)
+            if p is None:
+                p = self.word(t.strip("*@$#!") or t) if _ODD.search(t) is None else self.word(t)
+                if len(cache) < 200_000:
+                    cache[t] = p
+            out.append(p)
+        return out
 
 
-def plain_word(token: str) -> str:
-    """A token without masks, digits for letters and repeated letters, if that gives a lexicon word."""
-    if token in PLAIN_WORDS:
-        return token
-    if _ODD.search(token) and re.search(r"[^\W\d]", token):
-        read = "".join("." if c in "*#" else _LEET.get(c, re.escape(c)) for c in token.strip("!"))
-        for shape in (read, _RUN.sub(r"\1", read) if "." not in read else read):
-            found = [w for w in _BY_LENGTH.get(len(token.strip("!")), _BY_LENGTH.get(len(shape), [])) if re.fullmatch(shape, w)] if "." in shape else [shape] * (shape in PLAIN_WORDS)
-            if found:
-                return found[0]
-    for shape in (_RUN.sub(r"\1", token), _RUN.sub(r"\1\1", token), _DOUBLE.sub(r"\1", _RUN.sub(r"\1", token)), token[:-1] if token[-2:-1] == token[-1:] else token):
-        if shape != token and shape in PLAIN_WORDS:
-            return shape
-    return token
-
-
-_cache: dict[str, str] = {}
-
-
-def tokens(text: str) -> list[str]:
-    """Comparable tokens of a text; letters of scripts without spaces stand alone."""
-    if not text.isascii():
-        text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text)).replace("’", "'")
-    text = _JOIN.sub(lambda m: m.group().replace(m.group(1), ""), text.lower())
-    out = []
-    for t in _WORD.findall(text):
-        p = _cache.get(t)
-        if p is None:
-            p = plain_word(t.strip("*@$#!") or t) if _ODD.search(t) is None else plain_word(t)
-            if len(_cache) < 200_000:
-                _cache[t] = p
-        out.append(p)
+def runs(words: list[str]) -> set[str]:
+    """All distinct runs of one to MOST_WORDS tokens."""
+    out = set(words)
+    for n in range(2, MOST_WORDS + 1):
+        out.update(map(" ".join, zip(*[words[k:] for k in range(n)])))
     return out
 
 
-def features(words: list[str], known: frozenset[str] | set[str], heads: frozenset[str] | set[str]) -> Iterator[tuple[int, str]]:
-    """(place, feature) of every known word and phrase of up to four words.
-
-    A phrase stands at its last word; one of technical use at each of its words, so that no part of it counts alone.
-    """
+def known_runs(words: list[str], known: dict | set | frozenset, heads: set | frozenset) -> Iterator[tuple[int, int, str]]:
+    """(place, length, run) of every known run; the longer ones of a place first."""
+    last = len(words)
     for i, w in enumerate(words):
-        if w in known:
-            yield i, w
         if w in heads:
-            p = w
-            for j in range(i + 1, min(i + 4, len(words))):
-                p += " " + words[j]
-                if p in TECHNICAL:
-                    yield from ((k, p) for k in range(i, j + 1))
-                elif p in known:
-                    yield j, p
+            for n in range(min(MOST_WORDS, last - i), 1, -1):
+                p = " ".join(words[i : i + n])
+                if p in known:
+                    yield i, n, p
+        if w in known:
+            yield i, 1, w
 
 
 class Model:
-    """Scores of features by category, and the calibration."""
-
-    def __init__(self, labelled: list[tuple[str, str]], label_counts: dict[str, Counter] | None = None):
-        """labelled: (label, text); or label_counts: how often each token stands in the texts of each category."""
-        self.label_counts = {c: Counter((label_counts or {}).get(c, {})) for c in CATEGORIES}
-        for label, text in labelled:
-            if label in self.label_counts:
-                self.label_counts[label].update(tokens(text))
-        seen = {w for c in self.label_counts.values() for w in c}
-        self.known = frozenset(seen | {p for c in CATEGORIES for p in WEIGHTS[c]} | TECHNICAL)
-        self.heads = frozenset(p.split(" ")[0] for p in self.known if " " in p)
-        self.scores: dict[str, dict[str, float]] = {}
-
-    def _fit(self, counts: dict[str, int], total: int) -> None:
-        self.rate = {}
+    """Scores of features by category."""
+
+    def __init__(self, words: Words, labelled: dict[str, dict[str, int]], sizes: dict[str, int], counts: dict[str, int], total: int):
+        """labelled: how many texts of each label hold a feature; sizes: texts of each label; counts, total: the same of the corpus."""
+        self.words = words
+        seeds = {c: set(SEED[c].split()) for c in CATEGORIES}
+        self.scores: dict[str, dict[str, float]] = {c: {} for c in CATEGORIES}
+        names = set(counts) | set().union(*seeds.values())
+        for f in names:
+            # features of texts never counted, as seeds that no document holds, have the share of half a document
+            share = max(counts.get(f, 0), 0.5) / max(total, 1)
+            held = {c: labelled.get(c, {}).get(f, 0) + SEED_COUNT * (f in seeds[c]) for c in CATEGORIES}
+            rate = {c: (held[c] + PRIOR * share) / (sizes.get(c, 0) + PRIOR + SEED_COUNT) for c in CATEGORIES}
+            for c in CATEGORIES:
+                odds = math.log(rate[c] / share)
+                odds -= max(0.0, max(math.log(rate[o] / rate[c]) for o in CATEGORIES if o != c))
+                error = math.sqrt(1 / (held[c] + PRIOR * share) + 1 / max(counts.get(f, 0), 0.5))
+                sure = odds >= SUPPORT * error and odds - error >= LEAST
+                if f in seeds[c] or sure and held[c] >= HELD:
+                    self.scores[c][f] = min(odds, TOP)
+                elif counts.get(f, 0) >= 5:
+                    # a run known not to be of the category speaks for itself, instead of the words in it
+                    self.scores[c][f] = min(0.0, max(odds, -TOP / 2))
+        # a run says nothing new where no word of it is in doubt
+        hot = {c: {w for f, s in self.scores[c].items() if s > 0 for w in f.split(" ")} for c in CATEGORIES}
         for c in CATEGORIES:
-            y, lex = self.label_counts[c], WEIGHTS[c]
-            n = sum(y.values())
-            mass = n + PRIOR + LEXICON_COUNT * sum(lex.values())
-            scores = {}
-            for f in self.known:
-                share = (counts.get(f, 0) + 0.5) / (total + 1.0)
-                if f in TECHNICAL:
-                    scores[f] = -2 * TOP
-                    continue
-                prior = PRIOR * share + LEXICON_COUNT * lex.get(f, 0.0)
-                odds = math.log((y.get(f, 0) + prior) / mass) - math.log(share)
-                if f not in lex:
-                    # words known by labels only join passages but begin none: few labels cannot tell tone from topic
-                    z = odds / math.sqrt(1 / (y.get(f, 0) + prior) + 1 / (counts.get(f, 0) + 1.0))
-                    odds = min(odds, -NEUTRAL) if z > 3 and y.get(f, 0) >= 3 else min(odds, 0.0)
-                scores[f] = max(min(odds, TOP) if f in lex else odds, -1.0)
-            self.scores[c] = scores
-            self.rate[c] = self._lambda([(counts.get(f, 0) / max(total, 1), s + NEUTRAL) for f, s in scores.items() if counts.get(f, 0) and s > 0])
-
-    @staticmethod
-    def _lambda(values: list[tuple[float, float]]) -> float:
-        """The positive root of sum(p * exp(x * s)) = 1, neutral tokens being the rest."""
-        rest = max(0.0, 1 - sum(p for p, _ in values))
-        lo, hi = 1e-3, 5.0
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            if rest * math.exp(mid * NEUTRAL) + sum(p * math.exp(mid * s) for p, s in values) < 1:
-                lo = mid
-            else:
-                hi = mid
-        return min(max(lo, 0.5), 1.5)
-
-    def segments(self, words: list[str], category: str, hits: list[tuple[int, str]]) -> list[tuple[float, int, int]]:
-        """(score, first token, last token) of every maximal scoring segment, found in linear time."""
-        scores = self.scores[category]
-        at: dict[int, float] = {}
-        for i, f in hits:
-            s = scores.get(f, 0.0)
-            if s:
-                at[i] = at.get(i, 0.0) + s
-        out: list[tuple[float, int, int]] = []
-        # candidates with their cumulative scores to the left and right, merged as in the linear-time algorithm
-        stack: list[tuple[float, float, int, int]] = []
-        run, last = 0.0, -1
-        for i in sorted(at):
-            run += NEUTRAL * (i - last - 1)
-            before = run
-            run += at[i] + NEUTRAL
-            last = i
-            if run <= before:
-                continue
-            item = (before, run, i, i)
-            while True:
-                j = len(stack) - 1
-                while j >= 0 and stack[j][0] >= item[0]:
-                    j -= 1
-                if j < 0 or stack[j][1] >= item[1]:
-                    stack.append(item)
-                    break
-                item = (stack[j][0], item[1], stack[j][2], i)
-                del stack[j:]
-        out += [(r - l, a, b) for l, r, a, b in stack]
-        return out
+            self.scores[c] = {f: s for f, s in self.scores[c].items() if s > 0 or " " in f and any(w in hot[c] for w in f.split(" "))}
+        self.known: dict[str, tuple[float | None, ...]] = {}
+        for f in {f for c in CATEGORIES for f in self.scores[c]}:
+            self.known[f] = tuple(self.scores[c].get(f) for c in CATEGORIES)
+        self.heads = frozenset(f.split(" ")[0] for f in self.known if " " in f)
+        self.any = frozenset(f.split(" ")[0] for f in self.known)
+
+    def values(self, words: list[str]) -> list[dict[int, float]]:
+        """Per category the score of every place that a known run covers: that of the longest run, the highest of equals."""
+        at: list[dict[int, tuple[int, float]]] = [{} for _ in CATEGORIES]
+        if not self.any.isdisjoint(words):
+            for i, n, f in known_runs(words, self.known, self.heads):
+                for k, s in enumerate(self.known[f]):
+                    if s is not None:
+                        for j in range(i, i + n):
+                            if (n, s / n) > at[k].get(j, (0, 0.0)):
+                                at[k][j] = (n, s / n)
+        return [{j: s for j, (_, s) in a.items()} for a in at]
+
+
+def segments(at: dict[int, float]) -> list[tuple[float, int, int]]:
+    """(score, first token, last token) of every maximal scoring segment, found in linear time."""
+    # candidates with their cumulative scores to the left and right, merged as in the linear-time algorithm
+    stack: list[tuple[float, float, int, int]] = []
+    run, last = 0.0, -1
+    for i in sorted(at):
+        run += NEUTRAL * (i - last - 1)
+        before = run
+        run += at[i]
+        last = i
+        if run <= before:
+            continue
+        item = (before, run, i, i)
+        while True:
+            j = len(stack) - 1
+            while j >= 0 and stack[j][0] >= item[0]:
+                j -= 1
+            if j < 0 or stack[j][1] >= item[1]:
+                stack.append(item)
+                break
+            item = (stack[j][0], item[1], stack[j][2], i)
+            del stack[j:]
+    return [(r - l, a, b) for l, r, a, b in stack]
+
+
+def calibrate(values: dict[float, int]) -> tuple[float, float]:
+    """(rate, K) of token scores: the positive root of sum(p * exp(rate * s)) = 1, and K by simulation.
+
+    ``values`` counts the tokens of each score in all documents. Where no score is above 0 nothing is ever
+    found; the rate is then 1 and K 1.
+    """
+    total = sum(values.values())
+    s = np.array(sorted(values))
+    if not total or s.max(initial=0.0) <= 0:
+        return 1.0, 1.0
+    p = np.array([values[x] for x in sorted(values)]) / total
+    if float((p * s).sum()) >= 0:
+        raise ValueError("token scores of the corpus are positive on average; nothing could stand out")
+    lo, hi = 1e-6, 1.0
+    while float((p * np.exp(hi * s)).sum()) < 1:
+        hi *= 2
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if float((p * np.exp(mid * s)).sum()) < 1 else (lo, mid)
+    rng = np.random.default_rng(11)
+    # drawn with the tilted law, under which long runs are common, and weighed back: P(max >= x) ~ C exp(-rate x)
+    tilt = p * np.exp(lo * s)
+    walk = np.cumsum(rng.choice(s, size=(4000, 400), p=tilt / tilt.sum()), axis=1)
+    level = 3 * float(s.max())
+    over = walk >= level
+    reached = over.any(1)
+    first = walk[np.arange(len(walk)), over.argmax(1)][reached]
+    c = float(np.exp(-lo * (first - level)).mean()) if reached.any() else 1.0
+    # a walk from each place counts once per excursion: the share of places where a new least sum stands begins one
+    plain = np.cumsum(rng.choice(s, size=(200, 2000), p=p), axis=1)
+    low = np.minimum.accumulate(np.concatenate([np.zeros((200, 1)), plain], axis=1), axis=1)
+    begin = float((plain < low[:, :-1]).mean())
+    return lo, max(begin * c, 1e-6)
+
+
+def sample_labels(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, text), distinct, of at most LABELLED_DOCS labelled documents."""
+    known = labels.where(F.col("label").isin("ok", *CATEGORIES)).select("doc_id", "label").distinct()
+    sample = known.orderBy(F.xxhash64("doc_id"), "label").limit(LABELLED_DOCS)
+    docs = documents.select("doc_id", "text").where("text IS NOT NULL AND trim(text) <> ''")
+    return docs.join(F.broadcast(sample), "doc_id").select("label", "text").distinct()
 
-    def scored(self, text: str) -> list[tuple[str, float, float, str]]:
-        """(category, score, least E-value, its passage) of every category.
 
-        The score is 0 where no segment is significant; a text without any segment has the E-value of an empty one.
-        """
-        words = tokens(text)
-        hits = list(features(words, self.known, self.heads))
-        result = []
-        for c in CATEGORIES:
-            # logarithms, as the E-value of a very long passage is smaller than any number
-            chance = math.log(GUMBEL_K * max(len(words), 20))
-            all_ = [(chance - self.rate[c] * s, a, b) for s, a, b in self.segments(words, c, hits)]
-            e, a, b = min(all_, default=(chance, 0, -1))
-            score = sum((-x[0] / math.log(10) for x in all_ if math.exp(x[0]) <= MOST_E), 0.0)
-            result.append((c, score, math.exp(e), " ".join(words[a : b + 1])))
-        return result
+def _emitted(texts: DataFrame, words: Words, keep: frozenset[str] | None) -> DataFrame:
+    """(label, feature, n): how many texts of each label hold each run; ``keep`` restricts them; the feature "" counts texts."""
 
-    def found(self, text: str) -> list[tuple[str, float, float, str]]:
-        """``scored`` of the categories present in a text."""
-        return [r for r in self.scored(text) if r[2] <= MOST_E]
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sums: Counter = Counter()
+            for label, t in zip(batch["label"], batch["text"]):
+                ws = words.tokens(t)
+                found = set(ws) if keep is None else {r for r in runs(ws) if not keep.isdisjoint(r.split(" "))}
+                sums.update((label, r) for r in found)
+                sums[label, ""] += 1
+            if sums:
+                yield pd.DataFrame([(c, r, n) for (c, r), n in sums.items()], columns=["label", "feature", "n"])
+
+    return texts.mapInPandas(count, "label string, feature string, n long").groupBy("label", "feature").agg(F.sum("n").alias("n"))
+
+
+def _doubtful(rows: list, bar: float) -> set[str]:
+    """Features that the texts of some category hold much more often than those found to be in order."""
+    by: dict[str, Counter] = {}
+    for r in rows:
+        by.setdefault(r.label, Counter())[r.feature] = r.n
+    ok = by.get("ok", Counter())
+    out = set()
+    for c in CATEGORIES:
+        n = by.get(c, Counter())
+        for f, k in n.items():
+            if f and k >= 2 and math.log((k / n[""]) / ((ok[f] + 0.5) / (ok[""] + 1))) > bar:
+                out.add(f)
+    return out
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
     """The model for a corpus: labelled texts (a bounded sample), and counts over all documents."""
-    known = labels.where(F.col("label").isin(*CATEGORIES)).select("doc_id", "label").distinct()
-    sample = known.orderBy(F.xxhash64("doc_id"), "label").limit(LABELLED_DOCS)
-    texts = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "label"])
-
-    def count_labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: Counter = Counter()
-        for batch in batches:
-            for label, t in zip(batch["label"], batch["text"]):
-                sums.update((label, w) for w in tokens(t))
-        if sums:
-            yield pd.DataFrame([(c, w, n) for (c, w), n in sums.items()], columns=["label", "feature", "n"])
-
-    by_label: dict[str, Counter] = {c: Counter() for c in CATEGORIES}
-    for r in texts.select("label", "text").mapInPandas(count_labelled, "label string, feature string, n long").groupBy("label", "feature").agg(F.sum("n").alias("n")).collect():
-        by_label[r.label][r.feature] = r.n
-    model = Model([], by_label)
-    names, heads = model.known, model.heads
+    texts = checkpointed(sample_labels(documents, labels))
+    # words that two texts of a category share; masked ones are read as these
+    first = _emitted(texts, Words(), None)
+    rows = first.where("label <> 'ok' AND n >= 2 OR feature = ''").orderBy(F.desc("n"), "feature", "label").limit(MOST_FEATURES).collect()
+    words = Words({r.feature for r in rows})
+    again = checkpointed(_emitted(texts, words, None))
+    seen = again.where("label <> 'ok' AND n >= 2 AND feature <> ''").select("feature").distinct()
+    rows = again.join(seen.union(seen.sparkSession.createDataFrame([("",)], "feature string")), "feature").orderBy(F.desc("n"), "feature", "label").limit(MOST_FEATURES).collect()
+    hot = frozenset(_doubtful(rows, 1.0) | {w for t in SEED.values() for w in t.split()})
+    # runs around these words: those of two texts of a category, and those of texts found to be in order
+    held = _emitted(texts, words, hot).where("n >= 2 OR label = 'ok' OR feature = ''").orderBy((F.col("label") == "ok"), F.desc("n"), "feature").limit(MOST_FEATURES).collect()
+    labelled: dict[str, dict[str, int]] = {}
+    for r in held:
+        labelled.setdefault(r.label, {})[r.feature] = r.n
+    sizes = {c: n.pop("", 0) for c, n in labelled.items()}
+    names = frozenset(f for n in labelled.values() for f in n) | hot
+    heads = frozenset(f.split(" ")[0] for f in names if " " in f)
+    any_ = frozenset(f.split(" ")[0] for f in names)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: Counter = Counter()
         for batch in batches:
             for t in batch["text"]:
-                words = tokens(t)
-                sums[""] += len(words)
-                sums.update(f for _, f in features(words, names, heads))
+                ws = words.tokens(t)
+                sums[""] += 1
+                if not any_.isdisjoint(ws):
+                    sums.update({r for _, _, r in known_runs(ws, names, heads)})
         if sums:
             yield pd.DataFrame({"feature": list(sums), "n": list(sums.values())})
 
     docs = documents.select("text").where("text IS NOT NULL AND trim(text) <> ''")
     counts = {r.feature: r.n for r in docs.mapInPandas(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
     total = counts.pop("", 0)
-    model._fit(counts, total)
-    return model
+    return Model(words, labelled, sizes, counts, total)
 
 
 def score_all(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -309,24 +323,45 @@ def score_all(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     Documents without significant content have score 0 and are told apart by their best E-value.
     """
-    return _scored(documents.where(F.col("text").rlike(r"\S")), fit(documents, labels).scored)
-
-
-def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``score_all`` for categories present: an E-value of at most MOST_E."""
-    return _scored(documents, fit(documents, labels).found)
-
-
-def _scored(documents: DataFrame, score: Callable[[str], list[tuple[str, float, float, str]]]) -> DataFrame:
+    model = fit(documents, labels)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: Counter = Counter()
         for batch in batches:
-            out = [(i, s, *f) for i, s, t in zip(batch["doc_id"], batch["source"], batch["text"]) for f in score(t)]
-            if out:
-                yield pd.DataFrame(out, columns=["doc_id", "source", "category", "score", "e_value", "passage"])
+            out = []
+            for i, source, t in zip(batch["doc_id"], batch["source"], batch["text"]):
+                ws = model.words.tokens(t)
+                for c, at in zip(CATEGORIES, model.values(ws)):
+                    found = segments(at)
+                    best, a, b = max(found, default=(0.0, 0, -1))
+                    out.append((i, source, c, len(ws), [s for s, _, _ in found], best, " ".join(ws[a : b + 1]), 0.0, 0))
+                    sums.update((c, round(s, 2)) for s in at.values())
+                    sums[c, NEUTRAL] += len(ws) - len(at)
+            yield pd.DataFrame(out, columns=names)
+        if sums:
+            yield pd.DataFrame([(None, None, c, 0, [], 0.0, "", s, n) for (c, s), n in sums.items()], columns=names)
+
+    schema = "doc_id long, source string, category string, tokens long, segments array<double>, best double, passage string, value double, times long"
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    docs = documents.select("doc_id", "source", "text").where(F.col("text").rlike(r"\S"))
+    rows = checkpointed(docs.mapInPandas(scan, schema))
+    values: dict[str, dict[float, int]] = {c: {} for c in CATEGORIES}
+    for r in rows.where("times > 0").groupBy("category", "value").agg(F.sum("times").alias("n")).collect():
+        values[r.category][r.value] = r.n
+    law = {c: calibrate(values[c]) for c in CATEGORIES}
+    pick = lambda k: F.element_at(F.create_map(*[x for c in CATEGORIES for x in (F.lit(c), F.lit(float(law[c][k])))]), F.col("category"))
+    # logarithms, as the E-value of a very long passage is smaller than any number
+    chance = F.log(pick(1) * F.greatest("tokens", F.lit(20)))
+    logs = F.transform("segments", lambda s: chance - pick(0) * s)
+    counted = F.filter(logs, lambda e: e <= math.log(MOST_E))
+    score = F.aggregate(counted, F.lit(0.0), lambda acc, e: acc - e / math.log(10))
+    found = rows.where("times = 0").select("doc_id", "source", "category", score.alias("score"), F.exp(chance - pick(0) * F.col("best")).alias("e_value"), "passage")
+    return found.dropDuplicates(["doc_id", "category"])
+
 
-    docs = documents.select("doc_id", "source", "text").where("text IS NOT NULL AND trim(text) <> ''")
-    return docs.mapInPandas(scan, "doc_id long, source string, category string, score double, e_value double, passage string").dropDuplicates(["doc_id", "category"])
+def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``score_all`` for categories present: an E-value of at most MOST_E."""
+    return score_all(documents, labels).where(F.col("e_value") <= MOST_E)
 
 
 def rates(documents: DataFrame, scored: DataFrame) -> DataFrame:
