@@ -47,7 +47,7 @@ LEAST = 2.3  # least odds that count, a standard error below their estimate: les
 NEUTRAL = -0.6
 TOP = 5.0
 SEED_COUNT = 2.0  # labelled texts that a seed word is worth
-MOST_E = 0.0001
+MOST_E = 1e-6
 CATEGORIES = ("abusive", "hateful", "sexual")
 
 # fixed values: a few common words by category
