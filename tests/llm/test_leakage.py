@@ -2,25 +2,49 @@ import random
 
 import numpy as np
 
-from weftline.llm.leakage import MIN_STRETCH, Items, covered, leaked_items, match_shard, suffix_array, without_leaks, words
+from weftline.llm import leakage
+from weftline.llm.leakage import MIN_STRETCH, MOST_GAP, Items, SuffixOrder, covered, leaked_items, match_shard, without_leaks, words
 
 ITEM = "A retired weaver in the tide basin braids twin rolls of speckled fleece and waits seventy minutes before dusk falls"
 
 
-def test_suffix_array_is_sorted():
+def test_suffix_order_and_common_prefixes():
     rng = random.Random(1)
-    a = np.array([rng.randint(0, 3) for _ in range(500)] + [0, 0, 0])
-    sa = suffix_array(a, 64)
+    a = np.array([rng.randint(0, 3) for _ in range(500)] + [0])
+    order = SuffixOrder(a, 64)
 
     def known(p):
         out = []
         while a[p]:
             out.append(int(a[p]))
             p += 1
-        return out[:64]
+        return out
 
+    live = np.flatnonzero(a > 0)
+    sa = live[np.argsort(order.rank[live], kind="stable")]
     assert [known(p) for p in sa] == sorted(known(p) for p in sa)
-    assert sorted(sa) == [p for p in range(500) if len(known(p)) >= MIN_STRETCH]
+    x, y = np.array([rng.choice(live) for _ in range(2000)]), np.array([rng.choice(live) for _ in range(2000)])
+    for p, q, n in zip(x, y, order.common(x, y)):
+        u, v = known(p), known(q)
+        assert n == next((k for k, (i, j) in enumerate(zip(u, v)) if i != j), min(len(u), len(v)))
+
+
+def test_long_repeats_beyond_the_longest_item():
+    items = Items([(1, "a b c d e")])
+    docs = [items.encode(("a b c d e " * 50).split()), items.encode("x a b c d e".split()), items.encode("c d e a b".split())]
+    assert {(d, i, share) for d, i, share, *_ in match_shard([0, 1, 2], docs, items)} == {(0, 1, 1.0), (1, 1, 1.0)}
+
+
+def test_gaps_and_blocks(monkeypatch):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    items = Items([(1, item), (2, "zeta"), (3, "one two three")])
+    near = "one two three four five x x seven eight nine ten eleven".split()
+    far = ["one", "two", "three", "four", "five", *["x"] * 500, "seven", "eight", "nine", "ten", "eleven"]
+    docs = [items.encode(d) for d in (near, far, ["a", "zeta"], ["one", "two"])]
+    expected = {(0, 1), (0, 3), (1, 3), (2, 2)}
+    assert {(d, i) for d, i, *_ in match_shard([0, 1, 2, 3], docs, items)} == expected
+    monkeypatch.setattr(leakage, "MAX_HITS", 1)  # every match in a block of its own
+    assert {(d, i) for d, i, *_ in match_shard([0, 1, 2, 3], docs, items)} == expected
 
 
 def test_against_brute_force():
@@ -48,12 +72,12 @@ def test_against_brute_force():
                         n += 1
                     if n >= MIN_STRETCH and not (o and p and iw[o - 1] == ws[p - 1]):
                         runs.append((o, p, n))
-            if covered(runs, MIN_STRETCH) >= len(iw) / 2:
+            if runs and covered(runs, MIN_STRETCH, MOST_GAP) >= len(iw) / 2:
                 expected.add((d, i))
     assert got == expected and got
 
 
-def test_documents(spark):
+def test_documents(spark, monkeypatch):
     half = " ".join(ITEM.split()[:10])
     docs = [
         (1, "Intro. " + ITEM + " Outro", "x"), (2, ITEM.upper().replace(" ", "\n> "), "x"), (3, "第一" + half + "结束", "x"), (4, " ".join(ITEM.split()[:8]), "x"),
@@ -66,6 +90,8 @@ def test_documents(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(i, j) for i in (1, 2, 3, 7, 9) for j in (1, 2)}
     assert got.count() == 10
     assert {r.doc_id for r in without_leaks(d, got).collect()} == {4, 5, 6, 8}
+    monkeypatch.setattr(leakage, "MAX_ITEM_BYTES", 150)  # the items in several parts
+    assert {(r.doc_id, r.item_id) for r in leaked_items(d, e).collect()} == {(i, j) for i in (1, 2, 3, 7, 9) for j in (1, 2)}
     assert leaked_items(d.limit(0), e).count() == 0 and leaked_items(d, e.limit(0)).count() == 0
 
 
