@@ -20,6 +20,24 @@ def test_repair(spark):
     assert got["m²"] != got["m2"] and got["ß"] != got["B"]
 
 
+def test_dominant_script_first_and_vocabulary(spark):
+    # a Russian text keeps its words, however often their look-alikes occur
+    texts = ["сор в воде", *[f"cop {i}" for i in range(5)], "сор", "cор", "σ of K", "σ of Κ", "мороз", "мopоз", "morose мopoз"]
+    got = repaired(spark, texts)
+    assert got["сор в воде"] == "сор в воде" and got["сор"] == "сор"
+    assert got["cор"] == "сор"  # two of three letters are Cyrillic, and the word is known
+    assert got["σ of Κ"] == "σ of K"
+    assert got["мopоз"] == "мороз" and got["morose мopoз"] == "morose мороз"
+    # without the Cyrillic word the other script's form is taken, without either none
+    assert repaired(spark, ["cор", "cop 1"])["cор"] == "cop" and repaired(spark, ["cор"])["cор"] == "cор"
+
+
+def test_hot_look_and_classes(spark):
+    rows = [(i, 1, "S1" if i < 300 else "S1 ", None, None, "x") for i in range(302)]
+    got = same_looks(spark.createDataFrame(rows, SCHEMA))
+    assert got.count() == 600 and got.where("id_a >= id_b").count() == 0
+
+
 def test_no_vocabulary_no_change(spark):
     assert repaired(spark, ["хуz"])["хуz"] == "хуz"
 

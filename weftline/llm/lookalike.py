@@ -2,12 +2,14 @@
 
 1. Width, kinds of space, hyphens of one look, invisible characters, ligatures and combining accents are folded, JVM-side.
 2. Of each token (a run of letters and digits) the scripts are told. Look-alike letters are substituted only in
-   tokens that mix scripts, or stand wholly in look-alikes of a script that is not the text's own; the dominant
-   script is tried first, then the others; and only if the result stands in the corpus vocabulary: the tokens of one
-   script that occur in any of the texts. Of several such results the one seen most often is taken.
+   tokens that mix scripts: within themselves, or with their text, if they stand wholly in look-alikes of a script of
+   which the text has no word. The token's dominant script is tried first, then Latin, Cyrillic and Greek;
+   a result is taken only if it stands in the corpus vocabulary: the tokens of one script in any of the texts that do
+   not mix scripts in this sense.
 
 The vocabulary is a distributed table joined by equality with the candidate forms of the (distinct, few) suspicious
-tokens; nothing is broadcast by hand and nothing is collected.
+tokens; nothing is broadcast by hand and nothing is collected. Only texts with a look-alike letter are looked through for
+such tokens.
 
 Defined results: nulls stay null; empty texts stay empty; letters a reader can tell apart (alpha and a, sharp s and
 B, superscripts) are never touched; a token with no form in the vocabulary keeps its letters.
@@ -16,8 +18,6 @@ B, superscripts) are never touched; a token with no form in the vocabulary keeps
 from __future__ import annotations
 
 import unicodedata
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ _COMPOSED = [(b + m, c) for b in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrst
 _LIGATURES = [("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb03", "ffi"), ("\ufb04", "ffl"), ("\ufb05", "st"), ("\ufb06", "st")]
 TOKEN = r"[\p{L}\p{M}\p{Nd}]+"
 _LATIN_IN = "[A-Za-zÀ-ɏ]"
-_OTHER_IN = f"[{''.join(LOOK_ALIKES)}]"
+_OTHER_IN = rf"[{''.join(LOOK_ALIKES)}\p{{IsCyrillic}}]"
 
 
 def compose(col: Column) -> Column:
@@ -48,38 +48,51 @@ def _to(col: Column, table: dict[str, str]) -> Column:
 
 
 def candidate_forms(token: Column) -> Column:
-    """Forms of a suspicious token in one script each, its dominant script's first: array<struct<form, place>>."""
+    """Forms of a suspicious token in one script each: array<struct<form, place>>, its dominant script's at place 0."""
     back_c = {v: k for k, v in reversed(list(CYRILLIC.items()))}
     back_g = {v: k for k, v in reversed(list(GREEK.items()))}
     latin = _to(token, LOOK_ALIKES)
     cyrillic, greek = _to(latin, back_c), _to(latin, back_g)
     count = lambda cls: F.length(F.regexp_replace(token, f"[^{cls}]", ""))
     l, c, g = count("A-Za-zÀ-ɏ"), count(r"\p{IsCyrillic}"), count(r"\p{IsGreek}")
-    order = lambda own, *rest: F.when(reduce(lambda a, b: a & b, [own >= r for r in rest]), 0).otherwise(1)
     return F.array(
-        F.struct(latin.alias("form"), order(l, c, g).alias("place")),
-        F.struct(cyrillic.alias("form"), order(c, l, g).alias("place")),
-        F.struct(greek.alias("form"), order(g, l, c).alias("place")),
+        F.struct(latin.alias("form"), F.when((l >= c) & (l >= g), 0).otherwise(1).alias("place")),
+        F.struct(cyrillic.alias("form"), F.when((c > l) & (c >= g), 0).otherwise(2).alias("place")),
+        F.struct(greek.alias("form"), F.when((g > l) & (g > c), 0).otherwise(3).alias("place")),
     )
 
 
+def _own(script: str, letters: dict[str, str]) -> str:
+    """A word's piece of a script with a letter that no other script has alike; a single letter may be a symbol."""
+    own = rf"[\p{{Is{script}}}&&[^{''.join(letters)}µμ]]"
+    return rf"{own}\p{{Is{script}}}|\p{{Is{script}}}{own}"
+
+
+def mixes_scripts(token: Column, own_cyrillic: Column, own_greek: Column) -> Column:
+    """Whether a token mixes scripts, within itself or with a text without words of its script."""
+    latin, cyr, gre = token.rlike(_LATIN_IN), token.rlike(r"\p{IsCyrillic}"), token.rlike(rf"[{''.join(GREEK)}]|\p{{IsGreek}}")
+    within = (latin & (cyr | token.rlike(f"[{''.join(GREEK)}]"))) | (cyr & gre)
+    return within | (cyr & ~own_cyrillic) | (token.rlike(f"[{''.join(GREEK)}]") & ~own_greek)
+
+
 def repair_texts(texts: DataFrame, column: str = "text") -> DataFrame:
     """(raw, repaired): every distinct non-null text of ``column`` with its one consistent form."""
     raw = texts.select(F.col(column).alias("raw")).where(F.col("raw").isNotNull()).distinct()
-    plain = raw.withColumn("plain", fold_plain(F.col("raw")))
-    tokens = plain.select(F.explode(F.regexp_extract_all("plain", F.lit(f"({TOKEN})"), 1)).alias("token"))
-    suspicious = tokens.where(F.col("token").rlike(_OTHER_IN)).distinct()
-    forms = suspicious.select("token", F.explode(candidate_forms(F.col("token"))).alias("c")).select("token", "c.form", "c.place")
-    # a form counts as one script's if no look-alike of another is left in it
-    one_script = ~(F.col("form").rlike(_LATIN_IN) & F.col("form").rlike(r"[\p{IsCyrillic}\p{IsGreek}]")) & ~(F.col("form").rlike(r"\p{IsCyrillic}") & F.col("form").rlike(r"\p{IsGreek}"))
-    forms = forms.where(one_script | (F.col("place") == 0)).distinct()
-    known = tokens.join(forms.select(F.col("form").alias("token")).distinct(), "token", "left_semi").groupBy(F.col("token").alias("form")).agg(F.count("*").alias("seen"))
-    # the token itself may be a word of its script; it stays then unless a sister form is seen more often
-    best = forms.join(known, "form").groupBy("token").agg(F.max_by("form", F.struct("seen", -F.col("place"), "form")).alias("fixed"))
-    # per text a map of its own suspicious tokens, found by two hashes in place of the text, which may be very long
+    # a text is found by two hashes in its place, as it may be very long
     key = F.struct(F.xxhash64("raw").alias("x"), F.xxhash64(F.lit(1), F.col("raw")).alias("y"))
-    found = plain.where(F.col("plain").rlike(_OTHER_IN)).select(key.alias("k"), F.explode(F.array_distinct(F.regexp_extract_all("plain", F.lit(f"({TOKEN})"), 1))).alias("token"))
-    fixes = found.where(F.col("token").rlike(_OTHER_IN)).join(best.where("fixed <> token"), "token").groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("token", "fixed"))).alias("fixes"))
+    plain = raw.withColumn("plain", fold_plain(F.col("raw")))
+    own_c, own_g = F.col("plain").rlike(_own("Cyrillic", CYRILLIC)), F.col("plain").rlike(_own("Greek", GREEK))
+    every = F.explode(F.regexp_extract_all("plain", F.lit(f"({TOKEN})"), 1))
+    # few texts hold a look-alike letter; of the others every token counts as a word
+    doubtful = plain.where(F.col("plain").rlike(_OTHER_IN)).select(key.alias("k"), own_c.alias("own_c"), own_g.alias("own_g"), every.alias("token"))
+    doubtful = checkpointed(doubtful.select("k", "token", mixes_scripts(F.col("token"), F.col("own_c"), F.col("own_g")).alias("mixed")))
+    suspicious = doubtful.where("mixed").select("k", "token").distinct()
+    forms = suspicious.select("token").distinct().select("token", F.explode(candidate_forms(F.col("token"))).alias("c")).select("token", "c.form", "c.place")
+    wanted = forms.select(F.col("form").alias("token")).distinct()
+    clean = plain.where(~F.col("plain").rlike(_OTHER_IN)).select(every.alias("token"))
+    known = clean.join(wanted, "token", "left_semi").unionByName(doubtful.where("NOT mixed").select("token").join(wanted, "token", "left_semi")).distinct()
+    best = forms.join(known.withColumnRenamed("token", "form"), "form").groupBy("token").agg(F.min_by("form", F.struct("place", "form")).alias("fixed"))
+    fixes = suspicious.join(best.where("fixed <> token"), "token").groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("token", "fixed"))).alias("fixes"))
     parts = F.regexp_extract_all("plain", F.lit(r"([\p{L}\p{M}\p{Nd}]+|[^\p{L}\p{M}\p{Nd}]+)"), 1)
     mended = F.array_join(F.transform(parts, lambda t: F.coalesce(F.element_at("fixes", t), t)), "")
     return plain.withColumn("k", key).join(fixes, "k", "left").select("raw", F.when(F.col("fixes").isNull(), F.col("plain")).otherwise(mended).alias("repaired"))
@@ -109,9 +122,8 @@ def repair_fields(items: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
 def same_looks(items: DataFrame) -> DataFrame:
     """(field_name, id_a, id_b): items of one paper whose field looks the same but has other characters.
 
-    Units pair only where the sample looks the same too. A look with one spelling emits nothing, however hot: only
-    looks of at least two spellings are expanded, and only between different spellings. Texts are shuffled once, to
-    find the distinct ones; everything after goes by two hashes of them.
+    Units pair only where the sample looks the same too. A look with one spelling emits nothing, however hot. Texts are
+    shuffled once, to find the distinct ones; everything after goes by two hashes of them.
     """
     rows = items.select("id", "source_paper_id", *FIELDS).where("id IS NOT NULL AND source_paper_id IS NOT NULL")
     long = rows.select("id", "source_paper_id", "sample_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("raw")) for f in FIELDS])).alias("x"))
@@ -127,11 +139,13 @@ def same_looks(items: DataFrame) -> DataFrame:
     keyed = keyed.join(looks, ["x", "y"])
     units = keyed.where(is_unit).join(looks.select(F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("look").alias("sample_look")), ["sx", "sy"])
     others = keyed.where(~is_unit).withColumn("sample_look", F.lit(None).cast("struct<u:bigint,v:bigint>"))
-    shown = units.select("id", "source_paper_id", "field_name", "x", "look", "sample_look").unionByName(others.select("id", "source_paper_id", "field_name", "x", "look", "sample_look"))
-    shown = shown.select("field_name", "id", F.col("x").alias("spelling"), F.xxhash64("source_paper_id", "field_name", "look", "sample_look").alias("place"))
-    shown = checkpointed(shown)
-    several = shown.groupBy("place").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo <> hi").select("place")
-    mine = shown.join(several, "place", "left_semi").distinct()
-    a = mine.select("place", "field_name", F.col("id").alias("id_a"), F.col("spelling").alias("s_a"))
-    b = mine.select("place", F.col("id").alias("id_b"), F.col("spelling").alias("s_b"))
-    return a.join(b, "place").where("id_a < id_b AND s_a <> s_b").select("field_name", "id_a", "id_b").distinct()
+    shown = units.select("id", "source_paper_id", "field_name", "x", "y", "look", "sample_look").unionByName(others.select("id", "source_paper_id", "field_name", "x", "y", "look", "sample_look"))
+    place = F.struct(*[F.xxhash64(F.lit(k), "source_paper_id", "field_name", "look", "sample_look").alias(f"p{k}") for k in (0, 1)])
+    shown = checkpointed(shown.select("field_name", "id", F.struct("x", "y").alias("spelling"), place.alias("place")).distinct())
+    # spellings of a look are paired, not items: a hot look of one spelling, or of few, stays as small as its result
+    spellings = shown.select("field_name", "place", "spelling").distinct()
+    pairs = spellings.withColumnRenamed("spelling", "s_a").join(spellings.select("place", F.col("spelling").alias("s_b")), "place").where("s_a < s_b")
+    a = shown.select("place", F.col("spelling").alias("s_a"), F.col("id").alias("i"))
+    b = shown.select("place", F.col("spelling").alias("s_b"), F.col("id").alias("j"))
+    full = pairs.join(a, ["place", "s_a"]).join(b, ["place", "s_b"]).where("i <> j")
+    return full.select("field_name", F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).distinct()
