@@ -4,7 +4,8 @@ A text longer than ``max_chars`` is cut into pieces no longer than that; the nex
 before the last one ends, so consecutive pieces share exactly that many. Where a piece may end, every natural place is
 weighed: the similarity of the words of the blocks before and after it falls into a valley at a change of topic.
 Within each size window the deepest valley is cut, headings and paragraphs counting as deeper than sentences. Windows
-without a sentence end are cut after a word, those without white space wherever the limit falls ("hard").
+without a sentence end are cut after a word, those without white space after a mark, the rest wherever the limit
+falls ("hard").
 
 All characters are Unicode code points. Long texts are streamed through Python one at a time, only those above the
 limit; the filter runs in the JVM, there is no shuffle. The work per text is linear in its length.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,15 +29,21 @@ BLOCK_WORDS = 40  # words on either side of a place that are compared
 LEAST_FILL = 0.5  # of the room in a window: the window of each cut begins there
 
 _PLACE = re.compile(r"(?P<p>\n\s*\n\s*|\n(?=#{1,6}\s))|(?P<l>\n\s*)|(?P<s>(?:[.!?;]+[\"')\]”’]*(?=\s)\s*|[。！？；]+[”’」』]*\s*))")
-_WORD = re.compile(r"[^\W\d_]{3,}|[一-鿿]")
+_WORD = re.compile(r"[一-鿿]|[^\W\d_一-鿿]{3,}")
 _BREAK = re.compile(r"[\s.!?;。！？；]")
 _SPACE = re.compile(r"\s+")
+_SENTENCE_MARK = re.compile(r"[.!?;。！？；]")
 _BONUS = {"heading": 1.0, "paragraph": 0.4, "line": 0.2, "sentence": 0.0}
 
 
-def longest_unbroken(text: str) -> int:
-    """Length of the longest stretch without white space or a sentence mark."""
-    return max(map(len, _BREAK.split(text)))
+def unbroken_at(text: str, place: int, most: int) -> int:
+    """Length of the stretch without white space or a sentence mark around a place within it; counted up to ``most`` on either side."""
+    right = _BREAK.search(text, place, min(len(text), place + most))
+    after = (right.start() if right else min(len(text), place + most)) - place
+    before = 0
+    while before < most and place - before > 0 and not _BREAK.match(text[place - before - 1]):
+        before += 1
+    return before + after
 
 
 def natural_places(text: str) -> tuple[list[int], list[str]]:
@@ -57,6 +65,18 @@ def natural_places(text: str) -> tuple[list[int], list[str]]:
     return at, kinds
 
 
+def depths(scores: list[float]) -> list[float]:
+    """How deep each place lies below the nearest peaks of similarity on its left and right."""
+    n = len(scores)
+    left, right = list(scores), list(scores)
+    # a peak is where climbing from a place ends
+    for i in range(1, n):
+        left[i] = left[i - 1] if scores[i - 1] >= scores[i] else scores[i]
+    for i in range(n - 2, -1, -1):
+        right[i] = right[i + 1] if scores[i + 1] >= scores[i] else scores[i]
+    return [left[i] + right[i] - 2 * scores[i] for i in range(n)]
+
+
 def split_text(text: str, max_chars: int, overlap: int) -> list[tuple[int, int, str]]:
     """(begin, end, kind of cut) of each piece."""
     if not 0 <= overlap < max_chars:
@@ -65,47 +85,45 @@ def split_text(text: str, max_chars: int, overlap: int) -> list[tuple[int, int,
     if n <= max_chars:
         return [(0, n, "end")]
     at, kinds = natural_places(text)
-    found = [(m.start(), m.group().lower()) for m in _WORD.finditer(text)]
-    starts = [s for s, _ in found]
-    similar: dict[int, float] = {}
 
     def cohesion(k: int) -> float:
         """Likeness of the blocks of words before and after the natural place k."""
-        if k not in similar:
-            w = bisect_left(starts, at[k])
-            a, b = {x for _, x in found[max(0, w - BLOCK_WORDS) : w]}, {x for _, x in found[w : w + BLOCK_WORDS]}
-            similar[k] = 2 * len(a & b) / (len(a) + len(b)) if a and b else 0.0
-        return similar[k]
+        after = {m.group().lower() for m in islice(_WORD.finditer(text, at[k]), BLOCK_WORDS)}
+        reach, before = 8 * BLOCK_WORDS, []
+        while True:  # as far back as it takes to find the block's words
+            before = _WORD.findall(text, max(0, at[k] - reach), at[k])
+            if len(before) >= BLOCK_WORDS or reach >= at[k] or reach >= 2 * max_chars:
+                break
+            reach *= 2
+        a = {w.lower() for w in before[-BLOCK_WORDS:]}
+        return 2 * len(a & after) / (len(a) + len(after)) if a and after else 0.0
 
+    similar: dict[int, float] = {}
     pieces, begin = [], 0
     while n - begin > max_chars:
         top = begin + max_chars
         room = max_chars - overlap
-        low = begin + overlap + max(1, int(room * LEAST_FILL))
-        if pieces and low <= pieces[-1][1]:
-            low = pieces[-1][1] + 1
+        last_end = pieces[-1][1] if pieces else 0
+        low = max(begin + overlap + max(1, int(room * LEAST_FILL)), last_end + 1)
         end, kind = 0, ""
-        for floor in (low, max(begin + overlap + 1, (pieces[-1][1] if pieces else 0) + 1)):
+        for floor in (low, max(begin + overlap + 1, last_end + 1)):
             lo, hi = bisect_left(at, floor), bisect_right(at, top)
             if lo < hi:
-                scores = [cohesion(k) for k in range(lo, hi)]
-                left, peak = [], 0.0
-                for s in scores:
-                    peak = max(peak, s)
-                    left.append(peak)
-                right, peak = [0.0] * len(scores), 0.0
-                for i in range(len(scores) - 1, -1, -1):
-                    peak = max(peak, scores[i])
-                    right[i] = peak
-                depth = [left[i] + right[i] - 2 * scores[i] + _BONUS[kinds[lo + i]] for i in range(len(scores))]
-                best = max(range(len(scores)), key=lambda i: (depth[i], i))
+                for k in range(lo, hi):
+                    if k not in similar:
+                        similar[k] = cohesion(k)
+                depth = [d + _BONUS[kinds[k]] for k, d in zip(range(lo, hi), depths([similar[k] for k in range(lo, hi)]))]
+                best = max(range(hi - lo), key=lambda i: (depth[i], i))
                 end, kind = at[lo + best], kinds[lo + best]
                 break
-            last = None
-            for m in _SPACE.finditer(text, floor - 1, top):
-                last = m
-            if last and floor <= last.end() <= top:
-                end, kind = last.end(), "word"
+            for name, pattern in (("word", _SPACE), ("mark", _SENTENCE_MARK)):
+                last = None
+                for m in pattern.finditer(text, floor - 1, top):
+                    last = m
+                if last and floor <= last.end() <= top:
+                    end, kind = last.end(), name
+                    break
+            if end:
                 break
         if not end:
             end, kind = top, "hard"
@@ -116,21 +134,24 @@ def split_text(text: str, max_chars: int, overlap: int) -> list[tuple[int, int,
 
 
 def split_items(items: DataFrame, max_chars: int, overlap: int, key: str = "item_id", text: str = "text") -> DataFrame:
-    """(item_id, n_chars, longest_unbroken, piece_no, piece_begin, piece_end, cut_kind, piece_text) of every longer text."""
+    """(item_id, n_chars, piece_no, piece_begin, piece_end, cut_kind, unbroken, piece_text) of every longer text.
+
+    unbroken: at a hard cut the length of the stretch it cuts, without white space or sentence mark; else 0. A stretch
+    longer than the limit is always cut hard, as no other place lies in it.
+    """
     long = items.select(F.col(key).alias("item_id"), F.col(text).alias("text")).where(F.char_length("text") > max_chars)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["item_id", "n_chars", "longest_unbroken", "piece_no", "piece_begin", "piece_end", "cut_kind", "piece_text"]
+        names = ["item_id", "n_chars", "piece_no", "piece_begin", "piece_end", "cut_kind", "unbroken", "piece_text"]
         for batch in batches:
             out = []
             for i, t in zip(batch["item_id"], batch["text"]):
-                widest = longest_unbroken(t)
                 for k, (a, b, kind) in enumerate(split_text(t, max_chars, overlap), 1):
-                    out.append((i, len(t), widest, k, a, b, kind, t[a:b]))
+                    out.append((i, len(t), k, a, b, kind, unbroken_at(t, b, max_chars + 1) if kind == "hard" else 0, t[a:b]))
             if out:
                 yield pd.DataFrame(out, columns=names)
 
-    return long.mapInPandas(cut, "item_id long, n_chars int, longest_unbroken int, piece_no int, piece_begin int, piece_end int, cut_kind string, piece_text string")
+    return long.mapInPandas(cut, "item_id long, n_chars int, piece_no int, piece_begin int, piece_end int, cut_kind string, unbroken int, piece_text string")
 
 
 def all_pieces(items: DataFrame, max_chars: int, overlap: int, key: str = "item_id", text: str = "text") -> DataFrame:

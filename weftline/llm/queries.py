@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import canonical, leakage, lookalike, mixing, pieces, scan_repair, toxicity
@@ -67,11 +67,29 @@ def _oversized(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, int, i
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     parts = []
     for name, items, most, overlap in _oversized(spark, d):
-        cut = pieces.split_items(items, most, overlap).where("piece_no = 1")
-        parts.append(cut.select(F.lit(name).alias("field_name"), "item_id", (F.col("longest_unbroken") > most).cast("int").alias("hard_cut")))
+        cut = pieces.split_items(items, most, overlap).groupBy("item_id").agg(F.max((F.col("unbroken") > most).cast("int")).alias("hard_cut"))
+        parts.append(cut.select(F.lit(name).alias("field_name"), "item_id", "hard_cut"))
     return parts[0].unionByName(parts[1]).distinct()
 
 
+@query
+def p3_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per field the texts cut, their characters put together again from the pieces, and how many pieces break a rule."""
+    parts = []
+    for name, items, most, overlap in _oversized(spark, d):
+        p = pieces.split_items(items.distinct(), most, overlap)
+        follows = Window.partitionBy("item_id").orderBy("piece_no")
+        p = p.withColumn("before", F.lag("piece_end").over(follows)).withColumn("is_last", F.lead("piece_no").over(follows).isNull())
+        size = F.length("piece_text")
+        parts.append(
+            p.agg(
+                F.count_distinct("item_id").alias("texts"), F.coalesce(F.sum(size - F.when(F.col("before").isNull(), 0).otherwise(overlap)), F.lit(0)).alias("chars"),
+                F.count_if(size > most).alias("too_long"), F.count_if(F.col("before") - F.col("piece_begin") != overlap).alias("wrong_overlap"), F.count_if(F.col("is_last") & (F.col("piece_end") != F.col("n_chars"))).alias("not_whole"),
+            ).select(F.lit(name).alias("field_name"), "*")
+        )
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     """All pieces of all texts of both fields."""
@@ -161,6 +179,12 @@ ORACLE["p3_found"] = " UNION ".join(
     for field, name, key, text in (("block_text", "document_blocks", "id", "text"), ("markdown_text", "document_contexts", "paper_id", "markdown_text"))
 )
 
+ORACLE["p3_checks"] = " UNION ALL ".join(
+    f"""SELECT '{field}' AS field_name, count(DISTINCT k) AS texts, CAST(coalesce(sum(n), 0) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS too_long, CAST(0 AS BIGINT) AS wrong_overlap, CAST(0 AS BIGINT) AS not_whole
+    FROM (SELECT DISTINCT t.{key} AS k, t.{text}, length(t.{text}) AS n FROM {name} t JOIN size_limits l ON l.field_name = '{field}' WHERE length(t.{text}) > l.max_chars)"""
+    for field, name, key, text in (("block_text", "document_blocks", "id", "text"), ("markdown_text", "document_contexts", "paper_id", "markdown_text"))
+)
+
 
 def _look_sql(c: str) -> str:
     """The look of a text in SQL: all look-alikes to one letter, whatever stands around them."""
