@@ -52,3 +52,9 @@ def test_round_trip_spark(spark):
     values = ['a "b"', "c; d", "plain", "x/y, z"]
     text = spark.createDataFrame([(values,)], "v array<string>").select(pack_values(F.col("v")).alias("t")).first().t
     assert split_packed(text) == values
+
+
+def test_only_the_bracket_left_open_is_plain():
+    assert split_packed("a (x; [y); z); b") == ["a (x; [y)", "z)", "b"]
+    assert split_packed("a [x; (y; z]; b") == ["a [x; (y; z]", "b"]
+    assert split_packed("a ((x; y); b") == ["a ((x; y)", "b"] or split_packed("a ((x; y); b") == ["a ((x", "y)", "b"]

@@ -5,8 +5,8 @@ so far); delimiters count only outside quotes and at depth 0. The transition for
 
 - ``"`` opens a quoted stretch where a value begins and closes it unless doubled; a doubled quote inside is one
   quote, and a backslash inside takes the next quote or backslash literally;
-- ``( [ {`` raise the depth, their partners lower it; brackets left open at the end do not nest (the field is
-  read again with that bracket as an ordinary character);
+- ``( [ {`` raise the depth, their partners lower it, and that of any bracket left open within; brackets left open
+  at the end do not nest (the field is read again with that bracket as an ordinary character);
 - ``; ； 、 • | newline tab`` always delimit; ``,`` and ``/`` only where white space (or the end) follows a comma,
   or white space surrounds a slash, as ``2,5`` or ``N,N'`` or ``UV/Vis`` are numbers and names.
 
@@ -76,8 +76,10 @@ def split_packed(text: str | None) -> list[str]:
             elif c in OPEN and at not in plain:
                 stack.append((OPEN[c], at))
                 fresh = False
-            elif c in CLOSE and stack and stack[-1][0] == c:
-                stack.pop()
+            elif c in CLOSE and any(want == c for want, _ in stack):
+                # brackets opened after the partner of this one never close
+                while stack.pop()[0] != c:
+                    pass
             elif not stack and (
                 c in ALWAYS
                 or c == ","
