@@ -180,17 +180,18 @@ def train_joiner(sample: list[tuple[str, int]], seed: int = 6) -> boosting.Boost
             else:
                 continue
             if a and b:
-                x.append([np.log1p(counts.get(a + b, 0)), np.log1p(counts.get(f"{a}-{b}", 0)), np.log1p(counts.get(a, 0)), np.log1p(counts.get(b, 0))])
+                seen = lambda t: float(np.log1p(counts.get(t, 0)))
+                x.append([seen(a + b), seen(f"{a}-{b}"), seen(a), seen(b)])
+                y.append(keep)
+                # the same word as if the corpus held it nowhere else
+                x.append([0.0 if not keep else seen(a + b), 0.0 if keep else seen(f"{a}-{b}"), seen(a), seen(b)])
                 y.append(keep)
-    # both forms known: the more frequent one is right
-    x += [[5, 1, 0, 0], [1, 5, 3, 3], [0, 0, 0, 0], [0, 3, 4, 4], [3, 0, 4, 4]] * 10
-    y += [0, 1, 0, 1, 0] * 10
     return boosting.fit(np.array(x, dtype=float), np.array(y, dtype=float), ["merged", "hyphened", "left_n", "right_n"], trees=20)
 
 
 def corrections(suspicious: DataFrame, vocab: DataFrame, ranker: boosting.Boosted, total: int) -> DataFrame:
     """(word, fixed): words of ``suspicious`` (word, n) that a vocabulary word replaces."""
-    words = suspicious.where(F.col("word").rlike(r"\p{L}") & (F.length("word") >= 3) & (F.length("word") <= 40))
+    words = suspicious.where(F.col("word").rlike(r"\p{L}") & (F.length("word") >= 3))
     words = words.select("word", "n", F.explode(grams(F.col("word"))).alias("gram"))
     good = vocab.where(F.col("word").rlike(r"^[\p{L}][\p{L}-]{2,}$") & (F.col("n") >= F.lit(max(3, total // CANDIDATE)))).select(F.col("word").alias("cand"), F.col("n").alias("cand_n"))
     good = good.select("cand", "cand_n", F.explode(grams(F.col("cand"))).alias("gram"))
@@ -263,7 +264,7 @@ def word_findings(blocks: DataFrame, scanned: DataFrame | None = None) -> DataFr
     return char.unionByName(hyphen)
 
 
-FURNITURE = ["chars", "words", "first", "numeric", "digits", "alike", "steps", "edge_share", "sentence", "upper", "wide", "volume"]
+FURNITURE = ["chars", "words", "first", "numeric", "digits", "alike", "steps", "edge_share", "sentence", "upper"]
 #: a page number alone, in the marks around it and with digits read as letters
 PAGE_NO = r"^(?:[-–—\[(]\s*|[Pp](?:age|\.)?\s*)?[0-9OolISB]*[0-9][0-9OolISB]*(?:\s*(?:of|/)\s*[0-9OolISB]+)?\s*[-–—\])]?$"
 _NUMBER = r"([0-9OolISB]*[0-9][0-9OolISB]*)"
@@ -284,8 +285,11 @@ def _line_features(lines: DataFrame, around: DataFrame, keys: DataFrame) -> Data
     pairs = bare.join(shifted, ["paper_id", "side", "page_number"])
     longest = F.greatest(F.length(key(F.col("line"))), F.length(key(F.col("other"))), F.lit(1))
     both_short = (F.length("line") <= 150) & (F.length("other") <= 150)
-    alike = F.when(both_short & (F.length(F.trim(key(F.col("line")))) >= 4), 1 - F.levenshtein(key(F.col("line")), key(F.col("other"))) / longest).otherwise(0.0)
-    step = F.when(both_short & (number("line") == number("other") + F.col("delta")), 1).otherwise(0)
+    # edits of long lines are dear: they are as alike as their words
+    words = lambda c: F.array_distinct(F.split(F.trim(key(F.col(c))), " "))
+    shared = F.size(F.array_intersect(words("line"), words("other"))) / F.size(F.array_union(words("line"), words("other")))
+    alike = F.when(F.length(F.trim(key(F.col("line")))) < 4, 0.0).when(both_short, 1 - F.levenshtein(key(F.col("line")), key(F.col("other"))) / longest).otherwise(shared)
+    step = F.when((number("line") == number("other") + F.col("delta")), 1).otherwise(0)
     pairs = pairs.groupBy("uid").agg(F.max(alike).alias("alike"), F.sum(step).alias("steps"))
     lines = lines.join(pairs, "uid", "left").withColumn("key", key(F.col("line"))).join(keys, ["key", "side"], "left")
     return lines.withColumns(
@@ -294,7 +298,6 @@ def _line_features(lines: DataFrame, around: DataFrame, keys: DataFrame) -> Data
             "chars": F.length("line"), "words": F.size(F.split("line", r"\s+")), "first": (F.col("side") == "first").cast("int"), "numeric": F.col("line").rlike(PAGE_NO).cast("int"),
             "digits": F.length(F.regexp_replace("line", r"\D", "")) / F.greatest(F.length("line"), F.lit(1)), "sentence": F.col("line").rlike(r"[.。!?]$").cast("int"),
             "upper": (F.length(F.regexp_replace("line", r"[^\p{Lu}]", "")) / F.greatest(F.length(F.regexp_replace("line", r"[^\p{L}]", "")), F.lit(1))),
-            "wide": F.col("line").rlike(r"\s{3}| / ").cast("int"), "volume": F.col("line").rlike(r"Vol\. ?\S+$|\(\S{4}\) \S+$").cast("int"),
         }
     )
 
@@ -311,7 +314,7 @@ def edge_blocks(blocks: DataFrame) -> DataFrame:
     """The edge lines of the first and last block of every page, with block_type; one_line tells whether it is all of the block."""
     own = F.struct("order_index", "id", "head", "tail", "one_line", "block_type")
     text = F.regexp_replace("text", r"^\s+|\s+$", "")
-    b = blocks.where("text IS NOT NULL AND trim(text) <> ''").withColumns({"head": F.substring(F.substring_index(text, "\n", 1), 1, 201), "tail": F.right(F.substring_index(text, "\n", -1), F.lit(201)), "one_line": ~F.contains(text, F.lit("\n"))})
+    b = blocks.where("text IS NOT NULL AND trim(text) <> ''").withColumns({"head": F.substring_index(text, "\n", 1), "tail": F.substring_index(text, "\n", -1), "one_line": ~F.contains(text, F.lit("\n"))})
     ends = b.groupBy("paper_id", "page_number").agg(F.min(own).alias("first"), F.max(own).alias("last"))
     sides = F.array(F.struct(F.lit("first").alias("side"), F.col("first").alias("b"), F.col("first.head").alias("line")), F.struct(F.lit("last").alias("side"), F.col("last").alias("b"), F.col("last.tail").alias("line")))
     return ends.select("paper_id", "page_number", F.explode(sides).alias("e")).select("paper_id", "page_number", "e.side", "e.b.id", "e.line", "e.b.block_type", "e.b.one_line")
@@ -320,15 +323,15 @@ def edge_blocks(blocks: DataFrame) -> DataFrame:
 def furniture(blocks: DataFrame, pages: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
     """(item_kind, item_id, noise_kind) of blocks that are, and pages that have, a running header or a page number."""
     edges = edge_lines(pages)
-    around = checkpointed(edges.select("paper_id", "page_number", "side", F.substring("line", 1, 200).alias("line")).distinct())
-    b = edge_blocks(blocks)
     scanned = scanned if scanned is not None else scanned_papers(blocks)
+    b = edge_blocks(blocks.join(scanned, "paper_id"))
+    around = checkpointed(edges.select("paper_id", "page_number", "side", "line").join(scanned, "paper_id").distinct())
     # how typical a line is of page edges in the whole corpus: papers that have it there
-    keys = around.groupBy(F.lower(F.regexp_replace("line", r"[^\p{L}]+", " ")).alias("key"), "side").agg(F.log1p(F.approx_count_distinct("paper_id")).alias("edge_share"))
+    keys = edges.groupBy(F.lower(F.regexp_replace("line", r"[^\p{L}]+", " ")).alias("key"), "side").agg(F.log1p(F.approx_count_distinct("paper_id")).alias("edge_share"))
     both = b.select(F.lit("block").alias("item_kind"), F.col("id").alias("item_id"), "paper_id", "page_number", "side", "line", "block_type", "one_line").unionByName(
         edges.select(F.lit("page").alias("item_kind"), F.col("id").alias("item_id"), "paper_id", "page_number", "side", "line", F.lit(None).cast("string").alias("block_type"), F.lit(True).alias("one_line"))
     )
-    both = both.where("char_length(line) <= 200").join(scanned, "paper_id")
+    both = both.join(scanned, "paper_id")
     data = checkpointed(_line_features(both, around, keys))
     own = data.where("item_kind = 'block'")
     # a share of the lines by hash, so that no task sends more than its part of the sample
@@ -359,10 +362,12 @@ def repaired_blocks(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """(id, paper_id, order_index, paragraph): the text of every block that is no furniture, as running text."""
     scanned = checkpointed(scanned_papers(blocks))
     drop = furniture(blocks, pages, scanned).where("item_kind = 'block'").select(F.col("item_id").alias("id")).distinct()
-    # the longest reading first, so that no replacement spoils another
-    fixes = word_findings(blocks, scanned).select("id", "as_read", "repaired_word").distinct().groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.length("as_read")).alias("o"), "as_read", "repaired_word"))).alias("fixes"))
+    # a finding names the token as it stands between white space; only tokens equal to it are mended, and only their core
+    read = word_findings(blocks, scanned).groupBy("id", "as_read").agg(F.min("repaired_word").alias("to"))
+    core = F.regexp_replace("as_read", _EDGE, "")
+    fixes = read.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("as_read", F.replace("as_read", core, F.col("to"))))).alias("fixes"))
     rows = blocks.select("id", "paper_id", "order_index", "text").where("text IS NOT NULL").dropDuplicates(["id"]).join(drop, "id", "left_anti").join(fixes, "id", "left")
-    core = lambda x: F.regexp_replace(x["as_read"], _EDGE, "")
-    mended = F.aggregate("fixes", marked(F.col("text")), lambda t, x: F.replace(t, core(x), x["repaired_word"]))
+    pieces = F.regexp_extract_all(marked(F.col("text")), F.lit(r"(\S+|\s+)"), 1)
+    mended = F.array_join(F.transform(pieces, lambda t: F.coalesce(F.element_at("fixes", t), t)), "")
     text = F.replace(F.when(F.col("fixes").isNull(), marked(F.col("text"))).otherwise(mended), F.lit(_MARK), F.lit("-"))
     return rows.select("id", "paper_id", "order_index", F.trim(F.regexp_replace(text, r"[ \t]*\n[ \t]*", " ")).alias("paragraph"))
