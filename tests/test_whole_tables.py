@@ -41,8 +41,8 @@ def key(s):
 
 
 def pattern(s):
-    s = re.sub(r"[0-9]+(\.[0-9]+)?\s*(wt%|vol%|mol%|%|wt|°c|mm|nm|mpa)?", "#", shown(s).lower(), flags=re.ASCII)
-    return squeeze(re.sub(r"#(\s*#)+", "#", s, flags=re.ASCII))
+    s = re.sub(r"\b[0-9]+(\.[0-9]+)?\s*(wt%|vol%|%|deg|c|k|h|min|s)?\b", "#", key(s), flags=re.ASCII)
+    return re.sub(r"#+", "#", re.sub(r"\b[a-z]?[-_ ]?[0-9]+[a-z]?\b", "#", s, flags=re.ASCII)).strip(" -_/")
 
 
 def variable(s):

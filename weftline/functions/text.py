@@ -121,25 +121,30 @@ def source_bucket(col: Column) -> Column:
     """Where a fact was found, coarsely: ``figure:N``, ``table:N``, ``page:N:section``, the text itself, or unknown."""
     low = F.lower(F.trim(col))
     n = lambda p: F.regexp_extract(low, p, 1)
-    fig, tab, page = r"fig(?:ure|\.)?\s*s?(\d+)", r"(?:table|/ t)\s*s?0*(\d+)", r"p(?:age|\.)?\s*(\d+)"
-    section = F.regexp_extract(low, r"(results|discussion|experimental|introduction|conclusion|abstract)", 1)
+    fig, tab, page = r"(?:fig\.?|figure)\s*([0-9]+[a-z]?)", r"table\s*([0-9]+[a-z]?)", r"(?:p\.|page)\s*([0-9]+)"
+    section = n(r"(experimental|preparation|fabrication|materials|results|discussion)")
     return (
         F.when(low.rlike(fig), F.concat(F.lit("figure:"), n(fig))).when(low.rlike(tab), F.concat(F.lit("table:"), n(tab)))
         .when(low.rlike(page) & (section != ""), F.concat(F.lit("page:"), n(page), F.lit(":"), section)).when(low != "", low).otherwise("unknown")
     )
 
 
+# fixed values: locations that say too little
+COARSE_LOCATIONS = ["results_text", "experimental", "figure_caption", "table_text", "results", "figure", "table", "text", "unknown"]
+
+
 def rough_location(col: Column) -> Column:
-    """Whether a location is empty, a coarse word, a bare page, or names no figure, table, block or section."""
+    """Whether a location is empty, a coarse word, a bare page, or names no page, figure, table, section or scheme."""
     low = F.coalesce(F.lower(F.trim(col)), F.lit(""))
-    coarse = low.isin("", "text", "body", "main text", "unknown", "n/a", "results", "abstract", "page", "paper")
-    return coarse | low.rlike(r"^p(?:age|\.)?\s*\d+$") | ~low.rlike(r"fig|table|/ t\d|block|section|scheme|sentence|paragraph|line")
+    named = low.rlike(r"\b(?:p\.|fig\.)\w|\b(?:page|figure|table|section|scheme)\b|\bsec\.\w")
+    return (low == "") | low.isin(*COARSE_LOCATIONS) | low.rlike(r"^p\.?\s*\d+\s*,?\s*(?:text|raw text|page)?$") | ~named
 
 
 def name_pattern(col: Column) -> Column:
-    """A sample id with its numbers (and their units) masked as ``#``."""
-    s = F.regexp_replace(F.lower(sample_name(col)), r"\d+(?:\.\d+)?\s*(?:wt%|vol%|mol%|%|wt|°c|mm|nm|mpa)?", "#")
-    return squeeze(F.regexp_replace(s, r"#(?:\s*#)+", "#"))
+    """A sample id with its numbers, their units, and letters with numbers masked as ``#``."""
+    s = F.regexp_replace(match_key(col), r"\b\d+(?:\.\d+)?\s*(?:wt%|vol%|%|deg|c|k|h|min|s)?\b", "#")
+    s = F.regexp_replace(F.regexp_replace(s, r"\b[a-z]?[-_ ]?\d+[a-z]?\b", "#"), r"#+", "#")
+    return F.btrim(s, F.lit(" -_/"))
 
 
 def variable_of_name(col: Column) -> Column:

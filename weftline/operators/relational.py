@@ -182,3 +182,71 @@ def commonest(df: DataFrame, group: list[str], value: str) -> DataFrame:
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n"))
     top = counts.groupBy(*group).agg(F.min(F.struct((-F.col("n")).alias("m"), F.col(value).alias("v"))).alias("b"))
     return top.select(*group, F.col("b.v").alias(value), (-F.col("b.m")).alias("n"))
+
+
+# fixed values: how much a merged fact's method counts
+MERGE_RANK = {"rule_table_process": 7, "rule_table_performance": 7, "AI_holistic_table": 6, "AI_holistic": 4}
+
+
+def merged_facts(records: DataFrame) -> DataFrame:
+    """(…, merged): the best fact of each (paper, sample, metric, value, condition) and how many it stands for.
+
+    Best is the method, then a named block, a sample and evidence; of equals the first id. Its empty unit and method are
+    filled from the best of the others that has one. Facts without metric or value are left out.
+    """
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    rows = records.where(X.filled(F.col("performance_metric")) & X.filled(F.col("performance_value")))
+    keys = {
+        "_sample": X.sample_name(blank("sample_id")), "_metric": F.regexp_replace(F.trim(F.lower("performance_metric")), r"\s+", "_"), "_value": F.trim("performance_value"),
+        "_condition": X.squeeze(F.lower(blank("performance_condition"))),
+    }
+    method = F.create_map(*[F.lit(x) for kv in MERGE_RANK.items() for x in kv])
+    rank = F.coalesce(F.try_element_at(method, blank("extraction_method")), F.lit(0)) + F.when(blank("source_location").rlike("(?i)block"), 2).otherwise(0)
+    rank = rank + F.when(X.filled(F.col("sample_id")), 2).otherwise(0) + F.when(X.filled(F.col("evidence_text")), 1).otherwise(0)
+    rows = rows.withColumns(keys).withColumn("_rank", F.struct(rank.alias("r"), (-F.col("id")).alias("i")))
+    best = lambda c: F.max_by(c, F.when(X.filled(F.col(c)), F.col("_rank")))
+    out = rows.groupBy("source_paper_id", *keys).agg((-F.max("_rank")["i"]).alias("id"), best("performance_unit").alias("unit"), best("performance_method").alias("method"), F.count("*").alias("merged"))
+    return out.select("id", "source_paper_id", F.col("_sample").alias("sample"), F.col("_metric").alias("metric"), F.col("_value").alias("value"), F.col("_condition").alias("condition"), "unit", "method", "merged")
+
+
+def unique_values(df: DataFrame, group: list[str], column: str, key: str) -> DataFrame:
+    """(group…, n, first_ids): how many different texts (case and spaces aside) of a column each group has, and the first row of each.
+
+    One row per group and text, so that no group is collected: (group…, text, first_id, place); place counts from 1 in the order of
+    first rows.
+    """
+    norm = F.lower(X.squeeze(F.col(column)))
+    first = df.where(X.filled(F.col(column))).groupBy(*group, norm.alias("_n")).agg(F.min(F.struct(F.col(key), F.col(column))).alias("f"))
+    return numbered(first.select(*group, F.col(f"f.{column}").alias("text"), F.col(f"f.{key}").alias("first_id")), group, "first_id", "place")
+
+
+NUMBER_BLOCK = 1 << 16  # keys that are counted in one window
+
+
+def numbered(df: DataFrame, group: list[str], key: str, name: str) -> DataFrame:
+    """``df`` with the place of each row in its group in the order of an integer key, from 1; repeated keys in any order.
+
+    Rows are counted in blocks of keys; the sums of the blocks before are added, so that a group of any size is spread.
+    """
+    block = F.floor(F.col(key) / NUMBER_BLOCK).alias("_block")
+    rows = df.withColumn("_block", block)
+    sums = rows.groupBy(*group, "_block").agg(F.count("*").alias("_c"))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    rows = rows.withColumn("_in", F.row_number().over(Window.partitionBy(*group, "_block").orderBy(key)))
+    right = sums.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_block").alias("_b"), "_before")
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group], F.col("_block").eqNullSafe(F.col("_b")))
+    return rows.join(right, same).withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).select(*df.columns, name)
+
+
+def prior_or_all(df: DataFrame, group: str, wanted: Column) -> DataFrame:
+    """Rows that are wanted, and all rows of groups that have no wanted one."""
+    rows = df.withColumn("_w", F.coalesce(wanted, F.lit(False)))
+    some = rows.where("_w").select(F.col(group).alias("_g")).distinct()
+    rest = rows.where("NOT _w").join(some, F.col(group).eqNullSafe(F.col("_g")), "left_anti")
+    return rows.where("_w").unionByName(rest).drop("_w")
+
+
+def top_per(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
+    """The first ``k`` rows of each group; cut to k per task before rows meet."""
+    w = Window.partitionBy(group).orderBy(*order)
+    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")

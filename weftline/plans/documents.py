@@ -41,10 +41,9 @@ def page_inventory(spark: SparkSession, d: str) -> DataFrame:
     return D.page_inventory(_blocks(spark, d))
 
 
-_SCORE = """CASE block_type WHEN 'table' THEN 12 WHEN 'figure_caption' THEN 8 ELSE 0 END + CASE section_name WHEN 'results' THEN 6 WHEN 'experimental' THEN 5 WHEN 'conclusion' THEN 2 ELSE 0 END
-    + least(5, length(regexp_replace(lower(coalesce(text, '')), '[^0-9]', '', 'g')) // 10) + CASE WHEN regexp_matches(lower(coalesce(text, '')), '\\d\\s*(mpa|gpa|kpa|nm|μm|mm|°c|wt%|rpm|kv|%|s/m|n)') THEN 4 ELSE 0 END
-    + CASE WHEN regexp_matches(lower(coalesce(text, '')), 'strength|modulus|conductivity|porosity|elongation|density|angle') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(lower(coalesce(text, '')), 'stirred|dried|spinning|spun|annealing|prepared') THEN 3 ELSE 0 END
-    + CASE WHEN regexp_matches(lower(coalesce(text, '')), 'measured|microscope|calorimeter|analyzer|goniometer') THEN 3 ELSE 0 END"""
+_WORD_SCORES = " + ".join(f"CASE WHEN regexp_matches(coalesce(text, ''), '(?i){D.whole_words(p)}') THEN {n} ELSE 0 END" for p, n in D.SIGNALS)
+_SCORE = f"""CASE block_type WHEN 'table' THEN 12 WHEN 'figure_caption' THEN 8 ELSE 0 END + CASE section_name WHEN 'results' THEN 6 WHEN 'experimental' THEN 5 WHEN 'conclusion' THEN 2 ELSE 0 END
+    + least(5, length(regexp_replace(coalesce(text, ''), '[^0-9]', '', 'g')) // 10) + {_WORD_SCORES}"""
 
 
 @query("chunk_signal_score", f"SELECT id, CAST({_SCORE} AS INTEGER) AS score FROM {BLOCKS}")

@@ -11,7 +11,7 @@ from weftline.operators import lookup as L
 from weftline.operators import matching as M
 from weftline.operators import relational as R
 from weftline.plans.registry import query
-from weftline.plans.values import number_signature_sql
+from weftline.plans.values import BUCKET_SQL, number_signature_sql, pattern_sql
 from weftline.sources.tables import table
 from weftline.streaming import progress
 
@@ -301,11 +301,8 @@ def sample_components(spark: SparkSession, d: str) -> DataFrame:
     return members.select("source_paper_id", "sample_id", F.coalesce("least", "representative").alias("canonical"))
 
 
-_PATTERN = f"trim(regexp_replace(regexp_replace(regexp_replace(lower(trim({_KEY}, ' ,;:.()[]')), '\\d+(\\.\\d+)?\\s*(wt%|vol%|mol%|%|wt|°c|mm|nm|mpa)?', '#', 'g'), '#(\\s*#)+', '#', 'g'), '\\s+', ' ', 'g'))"
-_L = "lower(trim(source_location))"
-_BUCKET = f"""CASE WHEN regexp_matches({_L}, 'fig(ure|\\.)?\\s*s?(\\d+)') THEN 'figure:' || regexp_extract({_L}, 'fig(ure|\\.)?\\s*s?(\\d+)', 2) WHEN regexp_matches({_L}, '(table|/ t)\\s*s?0*(\\d+)') THEN 'table:' || regexp_extract({_L}, '(table|/ t)\\s*s?0*(\\d+)', 2)
-    WHEN regexp_matches({_L}, 'p(age|\\.)?\\s*(\\d+)') AND regexp_matches({_L}, '(results|discussion|experimental|introduction|conclusion|abstract)') THEN 'page:' || regexp_extract({_L}, 'p(age|\\.)?\\s*(\\d+)', 2) || ':' || regexp_extract({_L}, '(results|discussion|experimental|introduction|conclusion|abstract)', 1)
-    WHEN {_L} <> '' THEN {_L} ELSE 'unknown' END"""
+_PATTERN = pattern_sql(f"trim({_KEY}, ' ,;:.()[]')")
+_BUCKET = BUCKET_SQL
 
 
 @query(
@@ -372,8 +369,8 @@ def template_quality(spark: SparkSession, d: str) -> DataFrame:
     "fact_issues",
     f"""SELECT id, issues FROM (SELECT id, concat_ws(',', CASE WHEN coalesce(trim(performance_metric), '') = '' THEN 'no_metric' END, CASE WHEN coalesce(trim(performance_value), '') = '' THEN 'no_value' END, CASE WHEN coalesce(trim(sample_id), '') = '' THEN 'no_sample' END,
     CASE WHEN coalesce(trim(performance_evidence), '') = '' THEN 'no_evidence' END, CASE WHEN trim(performance_value) <> '' AND NOT regexp_matches(performance_value, '\\d') THEN 'no_digit' END,
-    CASE WHEN coalesce(lower(trim(source_location)), '') IN ('', 'text', 'body', 'main text', 'unknown', 'n/a', 'results', 'abstract', 'page', 'paper') OR regexp_matches(coalesce(lower(trim(source_location)), ''), '^p(age|\\.)?\\s*\\d+$')
-    OR NOT regexp_matches(coalesce(lower(trim(source_location)), ''), 'fig|table|/ t\\d|block|section|scheme|sentence|paragraph|line') THEN 'rough_location' END, CASE WHEN ai_confidence < 0.65 THEN 'low_confidence' END) AS issues FROM {RECORDS}) WHERE issues <> ''""",
+    CASE WHEN coalesce(lower(trim(source_location)), '') IN ('', {", ".join(f"'{x}'" for x in X.COARSE_LOCATIONS)}) OR regexp_matches(coalesce(lower(trim(source_location)), ''), '^p\\.?\\s*\\d+\\s*,?\\s*(text|raw text|page)?$')
+    OR NOT regexp_matches(coalesce(lower(trim(source_location)), ''), '\\b(p\\.|fig\\.)\\w|\\b(page|figure|table|section|scheme)\\b|\\bsec\\.\\w') THEN 'rough_location' END, CASE WHEN ai_confidence < 0.65 THEN 'low_confidence' END) AS issues FROM {RECORDS}) WHERE issues <> ''""",
 )
 def fact_issues(spark: SparkSession, d: str) -> DataFrame:
     return R.fact_issues(_records(spark, d))

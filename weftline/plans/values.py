@@ -90,8 +90,8 @@ def unit_normalize(spark: SparkSession, d: str) -> DataFrame:
     return raw.withColumn("unit_key", units.unit_key(F.col("performance_unit"))).join(F.broadcast(known), "unit_key", "left").select("performance_unit", "unit", "kind")
 
 
-@query("metric_unit_compat", "SELECT e.canonical_name, e.quantity_kind, c.common_unit, c.common_unit IS NOT NULL AS measurable FROM canonical_entries e LEFT JOIN common_units c ON c.quantity_kind = e.quantity_kind WHERE e.field_name = 'performance_metric'")
-def metric_unit_compat(spark: SparkSession, d: str) -> DataFrame:
+@query("metric_kinds", "SELECT e.canonical_name, e.quantity_kind, c.common_unit, c.common_unit IS NOT NULL AS measurable FROM canonical_entries e LEFT JOIN common_units c ON c.quantity_kind = e.quantity_kind WHERE e.field_name = 'performance_metric'")
+def metric_kinds(spark: SparkSession, d: str) -> DataFrame:
     entries = table(spark, d, "canonical_entries").where("field_name = 'performance_metric'").select("canonical_name", "quantity_kind")
     out = entries.join(F.broadcast(table(spark, d, "common_units")), "quantity_kind", "left")
     return out.select("canonical_name", "quantity_kind", "common_unit", F.col("common_unit").isNotNull().alias("measurable"))
@@ -121,7 +121,15 @@ def sample_key_normalize_all(spark: SparkSession, d: str) -> DataFrame:
     return _items(spark, d, "sample_id").select("id", X.sample_name(F.col("sample_id")).alias("name"), X.match_key(F.col("sample_id")).alias("key"))
 
 
-@query("name_pattern", f"SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(lower({_S}), '\\d+(\\.\\d+)?\\s*(wt%|vol%|mol%|%|wt|°c|mm|nm|mpa)?', '#', 'g'), '#(\\s*#)+', '#', 'g'), '\\s+', ' ', 'g')) AS pattern FROM {ITEMS} WHERE regexp_full_match(sample_id, '[ -~]*')")
+_K = f"trim(regexp_replace(regexp_replace(translate(lower({_S}), '°−–—', ' ---'), '[^a-z0-9.%+\\-/ ]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+def pattern_sql(key: str) -> str:
+    """``name_pattern`` in SQL, of a sample id's comparable form."""
+    return f"trim(regexp_replace(regexp_replace(regexp_replace({key}, '\\b\\d+(\\.\\d+)?\\s*(wt%|vol%|%|deg|c|k|h|min|s)?\\b', '#', 'g'), '\\b[a-z]?[-_ ]?\\d+[a-z]?\\b', '#', 'g'), '#+', '#', 'g'), ' -_/')"
+
+
+@query("name_pattern", f"SELECT id, {pattern_sql(_K)} AS pattern FROM {ITEMS} WHERE regexp_full_match(sample_id, '[ -~]*')")
 def name_pattern(spark: SparkSession, d: str) -> DataFrame:
     """Of plainly typed sample ids."""
     rows = _items(spark, d, "sample_id").where(F.col("sample_id").rlike(r"^[ -~]*$"))
@@ -137,20 +145,23 @@ def name_pattern_all(spark: SparkSession, d: str) -> DataFrame:
 _L = "lower(trim(source_location))"
 
 
-@query(
-    "source_bucket",
-    f"""SELECT id, CASE WHEN regexp_matches({_L}, 'fig(ure|\\.)?\\s*s?(\\d+)') THEN 'figure:' || regexp_extract({_L}, 'fig(ure|\\.)?\\s*s?(\\d+)', 2) WHEN regexp_matches({_L}, '(table|/ t)\\s*s?0*(\\d+)') THEN 'table:' || regexp_extract({_L}, '(table|/ t)\\s*s?0*(\\d+)', 2)
-    WHEN regexp_matches({_L}, 'p(age|\\.)?\\s*(\\d+)') AND regexp_matches({_L}, '(results|discussion|experimental|introduction|conclusion|abstract)') THEN 'page:' || regexp_extract({_L}, 'p(age|\\.)?\\s*(\\d+)', 2) || ':' || regexp_extract({_L}, '(results|discussion|experimental|introduction|conclusion|abstract)', 1)
-    WHEN {_L} <> '' THEN {_L} ELSE 'unknown' END AS bucket FROM {ITEMS}""",
-)
+_FIG, _TAB, _PAGE, _SECTION = "(fig\\.?|figure)\\s*([0-9]+[a-z]?)", "table\\s*([0-9]+[a-z]?)", "(p\\.|page)\\s*([0-9]+)", "(experimental|preparation|fabrication|materials|results|discussion)"
+
+
+BUCKET_SQL = f"""CASE WHEN regexp_matches({_L}, '{_FIG}') THEN 'figure:' || regexp_extract({_L}, '{_FIG}', 2) WHEN regexp_matches({_L}, '{_TAB}') THEN 'table:' || regexp_extract({_L}, '{_TAB}', 1)
+    WHEN regexp_matches({_L}, '{_PAGE}') AND regexp_matches({_L}, '{_SECTION}') THEN 'page:' || regexp_extract({_L}, '{_PAGE}', 2) || ':' || regexp_extract({_L}, '{_SECTION}', 1)
+    WHEN {_L} <> '' THEN {_L} ELSE 'unknown' END"""
+
+
+@query("source_bucket", f"SELECT id, {BUCKET_SQL} AS bucket FROM {ITEMS}")
 def source_bucket(spark: SparkSession, d: str) -> DataFrame:
     return _items(spark, d, "source_location").select("id", X.source_bucket(F.col("source_location")).alias("bucket"))
 
 
 @query(
     "rough_location",
-    f"""SELECT id, coalesce({_L}, '') IN ('', 'text', 'body', 'main text', 'unknown', 'n/a', 'results', 'abstract', 'page', 'paper') OR regexp_matches(coalesce({_L}, ''), '^p(age|\\.)?\\s*\\d+$')
-    OR NOT regexp_matches(coalesce({_L}, ''), 'fig|table|/ t\\d|block|section|scheme|sentence|paragraph|line') AS rough FROM {ITEMS}""",
+    f"""SELECT id, coalesce({_L}, '') IN ('', {", ".join(f"'{x}'" for x in X.COARSE_LOCATIONS)}) OR regexp_matches(coalesce({_L}, ''), '^p\\.?\\s*\\d+\\s*,?\\s*(text|raw text|page)?$')
+    OR NOT regexp_matches(coalesce({_L}, ''), '\\b(p\\.|fig\\.)\\w|\\b(page|figure|table|section|scheme)\\b|\\bsec\\.\\w') AS rough FROM {ITEMS}""",
 )
 def rough_location(spark: SparkSession, d: str) -> DataFrame:
     return _items(spark, d, "source_location").select("id", X.rough_location(F.col("source_location")).alias("rough"))
@@ -195,18 +206,3 @@ def metric_slug_all(spark: SparkSession, d: str) -> DataFrame:
 @query("file_stems", "SELECT id, substring(regexp_replace(trim(regexp_replace(regexp_replace(original_filename, '[<>:\"/\\\\|?*\\x00-\\x1f]', '_', 'g'), '\\s+', ' ', 'g')), '[. ]+$', ''), 1, 80) AS stem FROM papers WHERE original_filename <> ''")
 def file_stems(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "papers", "id", "original_filename").where("original_filename <> ''").select("id", X.safe_stem(F.col("original_filename")).alias("stem"))
-
-
-@query(
-    "evidence_facts",
-    f"""WITH e AS (SELECT id, string_split_regex(regexp_replace(regexp_replace(evidence_text, '^.*?(following was found:|测试结果如下：)\\s*', ''), '[.。]\\s*$', ''), '; |，') AS fs FROM {ITEMS} WHERE regexp_matches(evidence_text, 'following was found:|测试结果如下')),
-    f AS (SELECT id, unnest(range(1, len(fs) + 1)) AS pos, fs FROM e)
-    SELECT id, CAST(pos AS INTEGER) AS pos, regexp_extract(fs[pos], '^(.*) was (.*)$', 1) AS metric, regexp_extract(fs[pos], '^(.*) was (.*)$', 2) AS value FROM f WHERE regexp_extract(fs[pos], '^(.*) was (.*)$', 2) <> ''""",
-)
-def evidence_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Every (metric, value with unit) that the listing evidence of a sample states, with its position."""
-    rows = _items(spark, d, "evidence_text").where(F.col("evidence_text").rlike(r"following was found:|测试结果如下"))
-    listed = F.regexp_replace("evidence_text", r"^.*?(?:following was found:|测试结果如下：)\s*", "")
-    facts = F.transform(F.split(F.regexp_replace(listed, r"[.。]\s*$", ""), r"; |，"), lambda f: F.struct(F.regexp_extract(f, r"^(.*) was (.*)$", 1).alias("m"), F.regexp_extract(f, r"^(.*) was (.*)$", 2).alias("v")))
-    out = rows.select("id", F.posexplode(facts).alias("pos", "f")).where("f.v <> ''")
-    return out.select("id", (F.col("pos") + 1).alias("pos"), F.col("f.m").alias("metric"), F.col("f.v").alias("value"))
