@@ -93,7 +93,7 @@ def unit_normalize(spark: SparkSession, d: str) -> DataFrame:
 @query("metric_kinds", "SELECT e.canonical_name, e.quantity_kind, c.common_unit, c.common_unit IS NOT NULL AS measurable FROM canonical_entries e LEFT JOIN common_units c ON c.quantity_kind = e.quantity_kind WHERE e.field_name = 'performance_metric'")
 def metric_kinds(spark: SparkSession, d: str) -> DataFrame:
     entries = table(spark, d, "canonical_entries").where("field_name = 'performance_metric'").select("canonical_name", "quantity_kind")
-    out = entries.join(F.broadcast(table(spark, d, "common_units")), "quantity_kind", "left")
+    out = entries.join(table(spark, d, "common_units"), "quantity_kind", "left")
     return out.select("canonical_name", "quantity_kind", "common_unit", F.col("common_unit").isNotNull().alias("measurable"))
 
 
@@ -102,7 +102,7 @@ def metric_unit_conflicts(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of a canonically named metric that state a unit of another kind."""
     kinds = table(spark, d, "canonical_entries").where("field_name = 'performance_metric'").select(F.col("canonical_name").alias("metric_base"), F.col("quantity_kind").alias("expected_kind"))
     stated = units.stated_quantities(table(spark, d, "candidate_items")).where("unit IS NOT NULL")
-    return stated.join(F.broadcast(kinds), "metric_base").where("expected_kind IS NULL OR expected_kind <> kind").select("id", "metric_base", "unit", "kind", "expected_kind")
+    return stated.join(kinds, "metric_base").where("expected_kind IS NULL OR expected_kind <> kind").select("id", "metric_base", "unit", "kind", "expected_kind")
 
 
 _S = "trim(regexp_replace(replace(replace(sample_id, '◦', '°'), '℃', '°C'), '\\s+', ' ', 'g'), ' ,;:.()[]')"

@@ -32,8 +32,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if shared is None:
             if not sc.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            import atexit
+            import shutil
             import tempfile
 
             shared = tempfile.mkdtemp(prefix="weftline-checkpoint-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
         sc.setCheckpointDir(shared)
     return df.checkpoint()
